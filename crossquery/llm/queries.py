@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, sentencepiece_codec
+from . import language, licenses, packing, quality, sentencepiece_codec, toxicity
 
 QUERIES = {
+    "op2_licenses": licenses.query,
+    "op3_toxicity": toxicity.query,
+    "op4_language": language.query,
     "op5_packing": packing.query,
     "op7_sentencepiece": sentencepiece_codec.query,
+    "op9_quality": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_licenses": licenses.oracle()}
