@@ -167,7 +167,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     return arrow_map(rows, make, SCHEMA)
 
 
-def train(spark: SparkSession, sf_dir: str, per_class: int = 1200) -> Model:
+def train(spark: SparkSession, sf_dir: str, per_class: int = 800) -> Model:
     return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", per_class))
 
 

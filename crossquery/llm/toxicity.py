@@ -106,6 +106,6 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     return arrow_map(rows, make, SCHEMA)
 
 
-def query(spark: SparkSession, sf_dir: str, per_class: int = 1200) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, per_class: int = 800) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return score(documents, fit(labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", per_class)))
