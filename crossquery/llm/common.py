@@ -83,6 +83,21 @@ def arrow_map(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa
     return frame.mapInArrow(run, schema)
 
 
+def keep_rows(frame: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, for whose texts ``make()``'s function says true; null is the empty text."""
+    others = F.struct(*[F.col(f"`{c}`") for c in frame.columns if c != "text"], F.lit(True).alias("_")).alias("row")
+    rows = frame.select(F.col("text").cast("string").alias("text"), others)
+
+    def run(batches):
+        wanted = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(wanted([x or "" for x in batch.column(0).to_pylist()])))
+
+    out = rows.mapInArrow(run, rows.schema)
+    return out.select(*[F.col("text" if c == "text" else f"row.`{c}`") for c in frame.columns])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, table
+from .common import arrow_map, held_out, keep_rows, table
+from .learning import in_parts
 
 LONGEST, BLOCK = 7, 256
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -244,8 +245,6 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
         scorer = scorer_of(shared.value)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            from .learning import in_parts
-
             names, scores = [], []
             for part in in_parts([x.as_py() or "" for x in batch.column(2)], 1 << 20):
                 if not shared.value.languages:
@@ -262,6 +261,25 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     return arrow_map(rows, make, SCHEMA)
 
 
+def keep(documents: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The documents in a learned language, with all their columns: rejected are ``und`` and scores below ``least_score``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = scorer_of(shared.value)
+
+        def wanted(texts: list[str]) -> np.ndarray:
+            out = [np.zeros(0, bool)]
+            for part in in_parts(texts, 1 << 20):
+                names, scores = scorer.rows(part)
+                out.append((np.array(names) != "und") & (scores >= least_score))
+            return np.concatenate(out)
+
+        return wanted
+
+    return keep_rows(documents, make)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return identify(documents, learn(documents))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, table
+from .common import arrow_map, held_out, keep_rows, table
 from .learning import Adam, code_points, in_parts, labelled_sample, sigmoid
 
 PASSAGE = 400
@@ -167,6 +167,12 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     return arrow_map(rows, make, SCHEMA)
 
 
+def keep(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, of at least this score."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(documents, lambda: lambda texts: shared.value.score(texts) >= threshold)
+
+
 def train(spark: SparkSession, sf_dir: str, per_class: int = 800) -> Model:
     return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", per_class))
 

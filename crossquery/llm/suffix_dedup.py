@@ -358,13 +358,13 @@ def _joined(ranges: list) -> list[tuple[int, int]]:
 
 
 def kept(documents: DataFrame, columns: list[str], hot: int = 50_000, bits: int = 27) -> DataFrame:
-    """The given columns of each row, ``_removed`` maximal removed ranges, and ``_kept`` remaining bytes (binary)."""
+    """row (a struct of the given columns), removed (maximal removed ranges) and kept (remaining bytes, binary) of each row."""
     spans = covered(documents, hot, bits)
     spans = cut(spans.groupBy("jd", "th").agg(F.collect_set(F.struct("begin", "end")).alias("ranges")))  # no more than a text has bytes
     touched = bit_filter(spans, "th", 24)
     shared = documents.sparkSession.sparkContext.broadcast(touched)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("jd"), F.xxhash64(text).alias("th"), text.alias("whole"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("jd"), F.xxhash64(text).alias("th"), text.alias("whole"))
 
     def chosen(want: bool):
         def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,15 +389,31 @@ def kept(documents: DataFrame, columns: list[str], hot: int = 50_000, bits: int
                 left.append(b"".join([raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]) if own else raw)
                 gone.append([{"begin": a, "end": b} for a, b in own])
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary()), pa.array(gone, kind)], ["row", "_kept", "_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary()), pa.array(gone, kind)], ["row", "kept", "removed"])
 
-    return hit.unionByName(clean).mapInArrow(strip, f"row {inner}, _kept binary, _removed array<struct<begin:bigint,end:bigint>>").select("row.*", "_kept", "_removed")
+    return hit.unionByName(clean).mapInArrow(strip, f"row {inner}, kept binary, removed array<struct<begin:bigint,end:bigint>>")
+
+
+def strip(documents: DataFrame, **options) -> DataFrame:
+    """The documents, with all their columns, without repeated passages; characters cut apart go; ``n_chars`` follows where there is one."""
+    others = [c for c in documents.columns if c != "text"]
+    out = kept(documents, others, **options)
+    return _whole_characters(out).select(*[F.col("text") if c == "text" else F.length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in documents.columns])
+
+
+def _whole_characters(out: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    return out.select("row", "kept").mapInArrow(run, f"row {out.schema['row'].dataType.simpleString()}, text string")
 
 
 def digests(documents: DataFrame, hot: int = 50_000, bits: int = 27) -> DataFrame:
     out = kept(documents, ["doc_id"], hot, bits)
-    gone = F.aggregate("_removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length("_kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("_removed").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), (F.length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
