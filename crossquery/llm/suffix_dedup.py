@@ -35,7 +35,7 @@ from .sets import BitFilter, bit_filter
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1  # anchors' choices in a window
 _POSITION = np.uint64((1 << 24) - 1)
-_PIECE = 1 << 22
+_PIECE = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -304,11 +304,11 @@ def covered(documents: DataFrame, hot: int = 50_000, bits: int = 27) -> DataFram
         for batch in batches:
             keys = np.asarray(batch.column(0))
             while batch.num_rows:
-                if size > 30_000 and keys[0] != last_key:
+                if size > 12_000 and keys[0] != last_key:
                     yield out()
                     held, size = [], 0
                 # up to the end of the first run of one key, if a cut is due, or the whole batch
-                n = len(keys) if size + len(keys) <= 30_000 else int(np.argmax(keys != keys[0])) or len(keys)
+                n = len(keys) if size + len(keys) <= 12_000 else int(np.argmax(keys != keys[0])) or len(keys)
                 held.append(batch.slice(0, n))
                 size += n
                 last_key = keys[n - 1]
