@@ -3,8 +3,8 @@
 Each document is cut into whole windows and a rest. Whole windows are sequences of their own; a
 rest goes, online, to the fill level that keeps the sum of squared counts of partially filled
 windows smallest. The counts are a level array ``count[h]`` = open windows filled to ``h``: moving
-a window from ``h`` to ``h + size`` changes the sum by ``2 * (count[h + size] - count[h]) + 2`` (the
-full level counts nothing, a new window takes nothing from level 0), so a placement is one
+a window from ``h`` to ``h + size`` changes the sum by ``2 * (count[h + size] - count[h]) + 2``, one
+less if that fills it or if it is new, so a placement is one
 vectorised minimum over the array. Ties go to the fuller level.
 
 Every task packs what it reads and shuffles nothing. When its input ends, or when ``max_open``
@@ -117,13 +117,11 @@ class Packer:
     def level(self, size: int) -> int:
         """The fill level to put a rest of this size on; 0 opens a window."""
         top = self.window - size
-        gain = self.count[size : self.window + 1] - self.count[: top + 1]  # the full level's count stays 0
-        gain[top] -= 1  # a window that becomes full leaves no square: 1 less (in halves of the change)
-        gain[0] += 1  # a new window takes no square away
-        gain[1:][self.count[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        if top == 0:
-            return 0
-        return top - int(np.argmin(gain[::-1]))
+        change = 2 * (self.count[size : self.window + 1] - self.count[: top + 1]) + 2  # the full level's count stays 0
+        change[top] -= 1  # no square is added for a full window,
+        change[0] -= 1  # and none goes for a new one
+        change[1:][self.count[1 : top + 1] == 0] = np.iinfo(np.int64).max
+        return top - int(np.argmin(change[::-1]))
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n, w = len(ids), self.window
