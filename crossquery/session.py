@@ -128,10 +128,9 @@ class _Run:
             return source.partitioned(scan.table, scan.schema, [], 8)
         return source.table(scan.table, scan.schema)
 
-    def _scan(self, datasource: str, scan: m.ScanSpec, reduce=lambda frame: frame) -> DataFrame:
+    def _scan(self, datasource: str, scan: m.ScanSpec, reduce=lambda frame: frame, base: DataFrame | None = None) -> DataFrame:
         """Filter (and ``reduce``), then distinct, then limit; reduction never sees less than the filter leaves."""
-        source = self.session.sources[datasource]
-        frame = self._base(source, datasource, scan)
+        frame = self._base(self.session.sources[datasource], datasource, scan) if base is None else base
         if scan.raw_sql is not None:
             return reduce(frame)
         frame = frame.alias(scan.alias or scan.table)
@@ -143,41 +142,48 @@ class _Run:
         return frame if scan.limit is None else frame.limit(scan.limit)
 
     def _injected(self, step: m.InjectedScan) -> DataFrame:
-        source, keys = self.session.sources[step.datasource], self.keys[step.keys_from]
-        if step.scan.injected_sql is not None and source.in_process:
-            staged = self.shipped.get(step.datasource, {}) | {KEYS_VIEW: keys}
-            return source.query(step.scan.injected_sql, staged)
-        column = step.inject_column.rpartition(".")[2] if "." in step.inject_column else step.inject_column
+        source, keys, scan = self.session.sources[step.datasource], self.keys[step.keys_from], step.scan
+        if scan.injected_sql is not None and source.ships:
+            return source.query(scan.injected_sql, self.shipped.get(step.datasource, {}) | {KEYS_VIEW: keys})
+        column = step.inject_column.rpartition(".")[2]
+        base, fewer = self._reduced(step, source, keys, column)
 
         def reduce(frame: DataFrame) -> DataFrame:
-            if not source.in_process:
-                frame = self._remote(frame, source, step, keys, column)
-            frame = _semi(frame, column, keys)
+            frame = _semi(fewer(frame), column, keys)
             for extra in step.extra_injections:
                 more = self.keys[extra.keys_from]
                 # an empty extra set is skipped, not applied
                 frame = _semi(frame, extra.column.rpartition(".")[2], more) if more.limit(1).count() else frame
             return frame
 
-        return self._scan(step.datasource, step.scan, reduce)
+        return self._scan(step.datasource, scan, reduce, base)
 
-    def _remote(self, frame: DataFrame, source: Source, step: m.InjectedScan, keys: DataFrame, column: str) -> DataFrame:
-        """Lets the source send less; the caller's semi-join keeps exactness, so sending more is always right."""
+    def _reduced(self, step: m.InjectedScan, source: Source, keys: DataFrame, column: str):
+        """What lets the source send less: another base relation, or a filter on it. The caller's semi-join keeps
+        exactness, so sending more is always right."""
+        same = lambda frame: frame
+        if source.in_process:
+            return None, same  # Catalyst plans the semi-join
+        scan, structured = step.scan, step.scan.raw_sql is None
         few = [r[0] for r in keys.limit(IN_LIST_KEYS).collect()]  # bounded; beyond it the number is only needed if large
-        scan = step.scan
-        structured = scan.raw_sql is None
         n = len(few) if len(few) < IN_LIST_KEYS else keys.count()
-        indexed = not isinstance(source, PostgresSource) or not structured or n < IN_LIST_KEYS or source.leads_index(scan.table, scan.schema, column)
-        strategy = self.forced or choose(
-            source.kind, n, structured=structured, prerendered=scan.injected_sql is not None, indexed=indexed, fraction=fraction(n, step.inject_column_ndv)
-        )
+        strategy = self.forced
+        if strategy is None:
+            many = structured and n >= IN_LIST_KEYS
+            known = fraction(n, step.inject_column_ndv) if step.inject_column_ndv else source.fraction(scan.table, scan.schema, column, n) if many else None
+            indexed = not (many and isinstance(source, PostgresSource)) or source.leads_index(scan.table, scan.schema, column)
+            strategy = choose(source.kind, n, structured=structured, prerendered=scan.injected_sql is not None, indexed=indexed, fraction=known)
         if self.session.profile:
             log.info("reduction of %s by %d keys: %s", step.binding, n, strategy.value)
         if strategy is Strategy.NOTHING and not n:
-            return frame.where(F.lit(False))
+            return None, lambda frame: frame.where(F.lit(False))
         if strategy is Strategy.IN_LIST and n < IN_LIST_KEYS:
-            return frame.where(F.col(quoted(column)).isin(few))
-        return frame
+            return None, lambda frame: frame.where(F.col(quoted(column)).isin(few))
+        if strategy is Strategy.STAGED_KEYS and structured and scan.table not in self.shipped.get(step.datasource, {}):
+            return source.matching(scan.table, scan.schema, column, keys, KEYS_VIEW), same
+        if strategy is Strategy.FULL_PARALLEL_READ and structured and isinstance(source, PostgresSource) and not scan.distinct and scan.limit is None:
+            return source.partitioned(scan.table, scan.schema, [], 8), same
+        return None, same
 
 
 def _semi(frame: DataFrame, column: str, keys: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError, SourceError
 from ..operators.relational import raw_sql
-from .statistics import page_ranges
+from .statistics import distinct_values, fraction, page_ranges
 
 
 class Source:
@@ -42,6 +42,14 @@ class Source:
     def partitioned(self, name: str, schema: str | None, columns: list[str], partitions: int) -> DataFrame:
         raise PlanError(f"a {self.kind} source has no parallel read")
 
+    def matching(self, name: str, schema: str | None, column: str, keys: DataFrame, view: str) -> DataFrame | None:
+        """The table's rows whose column is among the staged keys (column ``k``), or None where keys cannot be staged."""
+        return None
+
+    def fraction(self, name: str, schema: str | None, column: str, n_keys: int) -> float | None:
+        """Share of the table that so many keys keep, by the source's catalogue; None if it does not say."""
+        return None
+
 
 class ParquetSource(Source):
     """Every ``<dir>/<table>.parquet``, a file or a folder, is a table of schema ``main``."""
@@ -94,6 +102,20 @@ class DuckDbSource(Source):
         parts = [p for p in (schema, name) if p]
         return self._read(query="SELECT * FROM " + ".".join('"' + p.replace('"', '""') + '"' for p in parts))
 
+    def staging(self) -> str | None:
+        """A folder that the driver and the executors share."""
+        return self.params.get("staging") or self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir", None)
+
+    def matching(self, name: str, schema: str | None, column: str, keys: DataFrame, view: str) -> DataFrame | None:
+        if not self.staging():
+            return None
+        return self.query(f"SELECT * FROM {JdbcSource.quoted(schema, name)} WHERE {JdbcSource.quoted(column)} IN (SELECT k FROM {JdbcSource.quoted(view)})", {view: keys})
+
+    def fraction(self, name: str, schema: str | None, column: str, n_keys: int) -> float | None:
+        where = f"table_name = '{name.replace(chr(39), chr(39) * 2)}' AND schema_name = '{(schema or 'main').replace(chr(39), chr(39) * 2)}'"
+        row = self.query(f"SELECT estimated_size::DOUBLE FROM duckdb_tables() WHERE {where}").first()
+        return fraction(n_keys, row[0]) if row else None
+
     def query(self, sql: str, staged: dict[str, DataFrame] | None = None) -> DataFrame:
         """``staged`` relations are written for the reader's connections, as temporary tables there."""
         import json
@@ -103,8 +125,7 @@ class DuckDbSource(Source):
 
         places = {}
         for name, frame in (staged or {}).items():
-            folder = self.params.get("staging") or self.spark.sparkContext.getCheckpointDir()
-            if not folder:
+            if not (folder := self.staging()):
                 raise SourceError("shipping to a duckdb source needs 'staging' or a checkpoint folder that executors share")
             places[name] = f"{folder}/staged-{uuid.uuid4().hex}"
             try:
@@ -186,6 +207,15 @@ class PostgresSource(JdbcSource):
         )
         return bool(row and row[0])
 
+    def fraction(self, name: str, schema: str | None, column: str, n_keys: int) -> float | None:
+        text = column.replace("'", "''")
+        of = f"'{self._regclass(name, schema)}'::regclass"
+        row = self._first(
+            f"SELECT c.reltuples::float8, s.n_distinct::float8 FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace "
+            f"LEFT JOIN pg_stats s ON s.schemaname = n.nspname AND s.tablename = c.relname AND s.attname = '{text}' WHERE c.oid = {of}"
+        )
+        return fraction(n_keys, distinct_values(row[0], row[1])) if row else None
+
     def predicates(self, name: str, schema: str | None, partitions: int) -> list[str]:
         return [f"ctid >= '({low},0)'::tid AND ctid < '({high},0)'::tid" for low, high in page_ranges(self.pages(name, schema), partitions)]
 

@@ -268,8 +268,8 @@ def duck(tmp_path_factory, sf_dir):
 
 @pytest.mark.parametrize("strategy", [None, *Strategy])
 @pytest.mark.parametrize("limit", [20, 4000, 0])
-def test_two_sources_and_every_strategy_give_the_same(session, duck, strategy, limit):
-    session.register("d", "duckdb", path=duck)
+def test_two_sources_and_every_strategy_give_the_same(session, duck, tmp_path, strategy, limit):
+    session.register("d", "duckdb", path=duck, staging=f"file://{tmp_path}")
     b = PlanBuilder()
     build = b.scan("t", "orders", ["o_orderkey", "o_orderpriority"], col("o_orderkey") < limit)
     probe = b.scan_reduced("d", "lineitem", ["l_orderkey", "l_quantity"], "l_orderkey", build.keys("o_orderkey"))
@@ -278,6 +278,22 @@ def test_two_sources_and_every_strategy_give_the_same(session, duck, strategy, l
     assert tuple(session.run(plan, strategy).first()) == tuple(expected)
 
 
+def test_prerendered_sql_reads_the_keys(session, duck, tmp_path):
+    session.register("d", "duckdb", path=duck, staging=f"file://{tmp_path}")
+    for source, sql in (("d", "SELECT v FROM probe WHERE k IN (SELECT k FROM dynamic_keys)"), ("t", "SELECT n_name AS v FROM nation WHERE n_regionkey IN (SELECT k FROM dynamic_keys)")):
+        b = PlanBuilder()
+        keys = b.scan("t", "region", ["r_regionkey"], col("r_regionkey") < 2).keys("r_regionkey")
+        spec = m.ScanSpec(table="probe", columns=("v",), injected_sql=sql)
+        plan = m.Plan((*b.steps, m.InjectedScan(source, spec, "k", keys.name, "p"), m.Return("p")))
+        assert session.run(plan).count() == (2 if source == "d" else 10)
+
+
+def test_catalogue_fraction(session, duck):
+    source = session.register("d", "duckdb", path=duck)
+    assert source.fraction("probe", None, "k", 25) == 0.25
+    assert source.fraction("nothing", None, "k", 25) is None
+
+
 def test_ship_to_a_remote_source(session, duck, tmp_path):
     session.register("d", "duckdb", path=duck, staging=f"file://{tmp_path}")
     b = PlanBuilder()
