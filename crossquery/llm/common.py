@@ -25,6 +25,10 @@ FNV = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches get at most 2,000 rows from here on: texts make rows large, and workers and JVM hold whole batches."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= 2000:
+        spark.conf.set(batch, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,13 +75,31 @@ def by_bytes(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         low = min(high, n)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, none empty, so that what a worker makes of one batch stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+_HELD: dict = {}
+
+
+def held_by_worker(key, make: Callable):
+    """What ``make`` gave for this key in this worker; only the last key's object is kept, whatever stages the worker serves."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def arrow_map(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with a state for each task: ``make()`` runs once in a task and returns what maps its batches."""
 
     def run(batches):
         one = make()
-        for batch in batches:
-            if batch.num_rows and (out := one(batch)) is not None:
+        for batch in sliced(batches):
+            if (out := one(batch)) is not None:
                 yield out
 
     return frame.mapInArrow(run, schema)
@@ -90,9 +112,8 @@ def keep_rows(frame: DataFrame, make: Callable[[], Callable[[list[str]], np.ndar
 
     def run(batches):
         wanted = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(wanted([x or "" for x in batch.column(0).to_pylist()])))
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(wanted([x or "" for x in batch.column(0).to_pylist()])))
 
     out = rows.mapInArrow(run, rows.schema)
     return out.select(*[F.col("text" if c == "text" else f"row.`{c}`") for c in frame.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, keep_rows, table
+from .common import arrow_map, held_by_worker, held_out, keep_rows, table
 from .learning import in_parts
 
 LONGEST, BLOCK = 7, 256
@@ -158,7 +158,7 @@ class Model:
 class Scorer:
     """A model and the distinct words it has scored so far, at most ``max_words``."""
 
-    def __init__(self, model: Model, max_words: int = 800_000):
+    def __init__(self, model: Model, max_words: int = 300_000):
         self.model, self.max_words = model, max_words
         self.clear()
 
@@ -195,16 +195,10 @@ class Scorer:
         return names, scores
 
 
-_HELD: dict[bytes, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """The worker's scorer of this model: its table of distinct words outlives tasks."""
     key = hashlib.sha256(model.p.tobytes() + "\n".join(model.languages).encode()).digest()
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Scorer(model)
-    return _HELD[key]
+    return held_by_worker(key, lambda: Scorer(model))
 
 
 def learn(documents: DataFrame, per_language: int = 300, vocabulary_path: str | None = None, max_languages: int = 256) -> Model:

@@ -18,7 +18,6 @@ Sequence ids are unique (task number and a counter), not dense. One id lies in e
 
 from __future__ import annotations
 
-import functools
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import held_by_worker, sliced, table
 
 WINDOW, END_ID = 2048, 1
 KEEP = 96
@@ -93,9 +92,8 @@ class WordTable(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, raw.replace(b"\n", b" ").split(b" "))), "<u2")
 
 
-@functools.lru_cache(maxsize=1)
-def word_table(path: str, max_words: int = 900_000) -> WordTable:
-    return WordTable(path, max_words)
+def word_table(path: str, max_words: int = 400_000) -> WordTable:
+    return held_by_worker(("words", path, max_words), lambda: WordTable(path, max_words))
 
 
 class Packer:
@@ -208,7 +206,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
             return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
         packer = Packer(emit, window, max_open, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 packer.add(doc_id.as_py(), np.concatenate([words.encode(text.as_py() or ""), end]))
             if len(rows) > 5000:

@@ -14,7 +14,6 @@ Nulls and empty texts: only the begin and end ids, decoded to the empty text. On
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from array import array
@@ -23,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, table
+from .common import arrow_map, held_by_worker, table
 
 MARK = "▁"
 KEEP = 128
@@ -35,7 +34,7 @@ class ChunkCodec:
 
     _runs = re.compile(f"{MARK}+[^{MARK}]*")
 
-    def __init__(self, model: str, max_chunks: int = 900_000):
+    def __init__(self, model: str, max_chunks: int = 400_000):
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -107,12 +106,11 @@ class ChunkCodec:
         yield from self.rows(held)
 
 
-@functools.lru_cache(maxsize=1)
 def codec(model: str, max_chunks: int) -> ChunkCodec:
-    return ChunkCodec(model, max_chunks)
+    return held_by_worker(("chunks", model, max_chunks), lambda: ChunkCodec(model, max_chunks))
 
 
-def encode_decode(documents: DataFrame, model: str | None = None, max_chunks: int = 900_000) -> DataFrame:
+def encode_decode(documents: DataFrame, model: str | None = None, max_chunks: int = 400_000) -> DataFrame:
     """doc_id, ids (binary, little-endian uint32) and decoded text of each document: the operator itself."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -128,7 +126,7 @@ def encode_decode(documents: DataFrame, model: str | None = None, max_chunks: in
     return arrow_map(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), make, "doc_id long, ids binary, decoded string")
 
 
-def digests(documents: DataFrame, model: str | None = None, max_chunks: int = 900_000) -> DataFrame:
+def digests(documents: DataFrame, model: str | None = None, max_chunks: int = 400_000) -> DataFrame:
     """One row per document: number of ids and digests of ids and of the decoded text, so that ids never leave the worker."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
 

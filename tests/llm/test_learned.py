@@ -11,12 +11,12 @@ import corpus_pipeline
 from crossquery.llm import language, quality, toxicity
 from crossquery.llm.common import table
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"  # the smaller tables label too few documents to learn from
 ODD = [(None, "x"), (1, None), (1, ""), (2, "!!! 123"), (3, "y " * 30000), (3, "y " * 30000)]
 
 
-def _held_out(spark, got, column, label):
-    truth = {r["doc_id"]: r[label] for r in table(spark, SF, "labels" if label != "lang" else "documents").collect()}
+def _held_out(spark, sf, got, column, label):
+    truth = {r["doc_id"]: r[label] for r in table(spark, sf, "labels" if label != "lang" else "documents").collect()}
     rows = [r for r in got.collect()]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
     return [(r[column], truth[r["doc_id"]]) for r in rows if r["held_out"] and truth.get(r["doc_id"]) is not None]
@@ -24,14 +24,14 @@ def _held_out(spark, got, column, label):
 
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(spark, module, label):
-    pairs = _held_out(spark, module.query(spark, SF), "predicted", label)
+    pairs = _held_out(spark, LARGER, module.query(spark, LARGER), "predicted", label)
     for kind in (0, 1):
         own = [a == b for a, b in pairs if b == kind]
         assert np.mean(own) > 0.85
 
 
 def test_language(spark):
-    pairs = _held_out(spark, language.query(spark, SF), "lang_pred", "lang")
+    pairs = _held_out(spark, SF, language.query(spark, SF), "lang_pred", "lang")
     assert np.mean([a == b for a, b in pairs]) > 0.97
 
 
@@ -108,4 +108,5 @@ def test_pipeline(spark):
         before = left
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(before)
-    assert sorted(r[0] for r in corpus_pipeline.run(spark, SF).select("ids_crc32").collect()) == sorted(r[0] for r in pieces.select("ids_crc32").collect())
+    tokens = lambda x: {(r["doc_id"], r["doc_tokens"]) for r in x.select("doc_id", "doc_tokens").distinct().collect()}  # noqa: E731 - where pieces are cut depends on how rows are dealt
+    assert tokens(corpus_pipeline.run(spark, SF)) == tokens(pieces)
