@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, table, text_bytes
+from .common import by_bytes, cut, sliced, table, text_bytes
 from .sets import BitFilter, bit_filter
 
 LENGTH, GRAM = 200, 64
@@ -215,7 +215,7 @@ def _each_run(documents: DataFrame, work, schema: str) -> DataFrame:
     """Maps (jd, th, text) rows: ``work(ids, hashes, run arrays)`` gives a record batch for each piece of text."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_bytes(batch.column(2))
             for found in runs(data, offsets):
                 if (out := work(np.asarray(batch.column(0)), np.asarray(batch.column(1)), found)) is not None:
@@ -357,63 +357,68 @@ def _joined(ranges: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def kept(documents: DataFrame, columns: list[str], hot: int = 50_000, bits: int = 27) -> DataFrame:
-    """row (a struct of the given columns), removed (maximal removed ranges) and kept (remaining bytes, binary) of each row."""
+def kept(documents: DataFrame, columns: list[str], finish, schema: str, hot: int = 50_000, bits: int = 27) -> DataFrame:
+    """``finish(rows, raws, ranges)`` gives the record batch for a batch of rows: a struct array of the given columns,
+    each text's bytes, and its maximal removed ranges. Texts without a removed range are never dealt out."""
     spans = covered(documents, hot, bits)
     spans = cut(spans.groupBy("jd", "th").agg(F.collect_set(F.struct("begin", "end")).alias("ranges")))  # no more than a text has bytes
     touched = bit_filter(spans, "th", 24)
     shared = documents.sparkSession.sparkContext.broadcast(touched)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("jd"), F.xxhash64(text).alias("th"), text.alias("whole"))
-
-    def chosen(want: bool):
-        def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array(shared.value.has(np.asarray(batch.column(2))) == want))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(True).alias("_"))
+    rows = documents.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("jd"), F.xxhash64(text).alias("th"), text.alias("whole"))
+    raw = lambda x: x.as_py().encode("utf-8", "surrogatepass")
 
-        return rows.mapInArrow(tasks, rows.schema)
+    # one Python step in a stage: each more would be one more worker for every core
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(shared.value.has(np.asarray(batch.column(2)))))
 
-    inner = rows.schema["row"].dataType.simpleString()
-    ranges = spans.schema["ranges"].dataType
-    hit = chosen(True).join(spans, ["jd", "th"], "left").select("row", "whole", "ranges")
-    clean = chosen(False).select("row", "whole", F.lit(None).cast(ranges).alias("ranges"))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            own = batch.filter(pa.array(~shared.value.has(np.asarray(batch.column(2)))))
+            if own.num_rows:
+                yield finish(own.column(0), [raw(x) for x in own.column(3)], [[]] * own.num_rows)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, gone = [], []
-            for x, r in zip(batch.column(1), batch.column(2), strict=True):
-                raw = x.as_py().encode("utf-8", "surrogatepass")
-                own = _joined([(y["begin"], y["end"]) for y in r.as_py() or []])
-                ends = [0, *[e for span in own for e in span], len(raw)]
-                left.append(b"".join([raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]) if own else raw)
-                gone.append([{"begin": a, "end": b} for a, b in own])
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary()), pa.array(gone, kind)], ["row", "kept", "removed"])
+        for batch in sliced(batches):
+            ranges = [_joined([(y["begin"], y["end"]) for y in r.as_py() or []]) for r in batch.column(2)]
+            yield finish(batch.column(0), [raw(x) for x in batch.column(1)], ranges)
+
+    hit = rows.mapInArrow(perhaps, rows.schema).join(spans, ["jd", "th"], "left").select("row", "whole", "ranges")
+    return hit.mapInArrow(strip, schema).unionByName(rows.mapInArrow(clean, schema))
+
 
-    return hit.unionByName(clean).mapInArrow(strip, f"row {inner}, kept binary, removed array<struct<begin:bigint,end:bigint>>")
+def _left(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    ends = [0, *[e for span in ranges for e in span], len(raw)]
+    return b"".join([raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]) if ranges else raw
 
 
 def strip(documents: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, without repeated passages; characters cut apart go; ``n_chars`` follows where there is one."""
     others = [c for c in documents.columns if c != "text"]
-    out = kept(documents, others, **options)
-    return _whole_characters(out).select(*[F.col("text") if c == "text" else F.length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in documents.columns])
+    inner = documents.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_")).alias("row")).schema["row"].dataType.simpleString()
 
+    def finish(rows, raws, ranges):
+        texts = [_left(x, r).decode("utf-8", "ignore") for x, r in zip(raws, ranges, strict=True)]
+        return pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], ["row", "text"])
 
-def _whole_characters(out: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
-
-    return out.select("row", "kept").mapInArrow(run, f"row {out.schema['row'].dataType.simpleString()}, text string")
+    out = kept(documents, others, finish, f"row {inner}, text string", **options)
+    return out.select(*[F.col("text") if c == "text" else F.length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in documents.columns])
 
 
 def digests(documents: DataFrame, hot: int = 50_000, bits: int = 27) -> DataFrame:
-    out = kept(documents, ["doc_id"], hot, bits)
-    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
-    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), (F.length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
+
+    def finish(rows, raws, ranges):
+        gone = [sum(b - a for a, b in r) for r in ranges]
+        sha = [hashlib.sha256(_left(x, r)).hexdigest() for x, r in zip(raws, ranges, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [rows.field("doc_id").cast(pa.int64()), pa.array([len(x) for x in raws], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in ranges], pa.int64()), pa.array(sha, pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        )
+
+    return kept(documents, ["doc_id"], finish, SCHEMA, hot, bits)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
