@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, held_out, table
 from .learning import Adam, code_points, in_parts, labelled_sample, sigmoid
 
-SIZES, BITS = (3, 4, 5), 20
+SIZES, BITS = (4, 6, 8), 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -58,7 +58,7 @@ class Model:
         return sigmoid(np.concatenate(out).astype(np.float64)) if out else np.zeros(0)
 
 
-def fit(sample: list[tuple[int, str, int]], max_features: int = 16384, steps: int = 150, decay: float = 1e-4) -> Model:
+def fit(sample: list[tuple[int, str, int]], max_features: int = 4096, steps: int = 150, decay: float = 1e-3) -> Model:
     labels = np.array([x[2] for x in sample])
     none = Model(np.full(1 << BITS, -1, np.int32), np.zeros(0, np.float32), 0.0)
     if len(set(labels)) < 2:
@@ -66,10 +66,10 @@ def fit(sample: list[tuple[int, str, int]], max_features: int = 16384, steps: in
     docs, kinds, first = [], [], 0
     for part in in_parts([x[1] for x in sample], 1 << 20):
         pairs = np.unique(np.concatenate([(o.astype(np.int64) << BITS) | s for o, s in slots(part)]))
-        docs.append((pairs >> BITS) + first)
+        docs.append(((pairs >> BITS) + first).astype(np.int32))
         kinds.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
         first += len(part)
-    docs, kinds = np.concatenate(docs).astype(np.int32), np.concatenate(kinds)
+    docs, kinds = np.concatenate(docs), np.concatenate(kinds)
     counts = [np.bincount(kinds[labels[docs] == k], minlength=1 << BITS).astype(float) for k in (0, 1)]
     both = counts[0] + counts[1]
     ratio = np.log(((1 + counts[1]) / (1 + counts[1]).sum()) / ((1 + counts[0]) / (1 + counts[0]).sum()))
