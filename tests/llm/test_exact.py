@@ -219,6 +219,13 @@ def test_jaccard_join_keeps_one_of_each(spark):
     assert jaccard_join.link(empty(spark)).count() == 0 and jaccard_join.keep_one(empty(spark)).count() == 0
 
 
+def test_jaccard_join_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
+    one, two, three, four = (" ".join(f"{t}{k}" for k in range(12)) for t in "abcd")
+    rows = [(None, one), (None, one), (None, two), (7, three), (7, four), (8, three), (7, three)]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, one), (0, two), (7, three), (7, four)]
+
+
 def test_trie_finds_all_links():
     rng = random.Random(9)
     bound = jaccard_join.Bound(60)
