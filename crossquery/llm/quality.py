@@ -4,7 +4,8 @@ A document is a bag of passages of ``PASSAGE`` characters (the last may be short
 of the whole text is encoded: shares of character classes, of class changes, and of repetition within
 the passage and with the document's earlier passages, through a learned tanh layer. Gated attention
 a_k ~ exp(w . (tanh(V h_k) * sigmoid(U h_k))), learned from document labels alone, weighs the
-passages, and a logistic layer scores the weighted representation.
+passages, and a logistic layer scores the weighted representation. A document's features and score do
+not depend on the documents that share its batch.
 
 Null and empty texts have one passage without characters, scored like any other. One row in, one
 row out. Without labelled rows of both classes every score is 0.5.
@@ -58,7 +59,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shares = np.bincount(own * CLASSES + kind, minlength=total * CLASSES).reshape(total, CLASSES) * over
     after = np.zeros((total, CLASSES))
     if len(codes) > 1:  # classes that follow letters
-        letter = (kind[:-1] == _LOWER) | (kind[:-1] == _UPPER)
+        letter = ((kind[:-1] == _LOWER) | (kind[:-1] == _UPPER)) & (owner[1:] == owner[:-1])
         after = np.bincount((own[1:] * CLASSES + kind[1:])[letter], minlength=total * CLASSES).reshape(total, CLASSES) * over
     extra = np.zeros((total, 6))
     extra[:, 0] = np.log1p(length) / 6
@@ -70,10 +71,9 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             while width < n:  # doubling: the hash of 2w characters from two of w
                 hashed = hashed[:-width] * np.uint64(0x9E3779B97F4A7C15) + (hashed[width:] ^ (hashed[width:] >> np.uint64(29)))
                 width *= 2
-            at = np.arange(0, len(hashed), 4 if n == 8 else 1)
-            at = at[owner[at] == owner[at + n - 1]]
+            at = np.flatnonzero(owner[: len(hashed)] == owner[n - 1 :])
             if n == 32:
-                at = at[kind[at - 1] == 1] if len(at) else at  # starts of lines
+                at = at[(at == ends[owner[at]]) | (kind[at - 1] == 1)]  # starts of lines
             key = (hashed[at] * np.uint64(0xBF58476D1CE4E5B9)) ^ (owner[at].astype(np.uint64) * np.uint64(0x94D049BB133111EB))
             _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
             again = counts[inverse] > 1
@@ -83,6 +83,14 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([np.sqrt(shares), np.sqrt(after), extra]), document
 
 
+def in_order(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, added up in one order whatever the number of rows, so that a row's result does not depend on the others."""
+    out = np.zeros((len(x), w.shape[1]))
+    for k in range(len(w)):
+        out += x[:, k : k + 1] * w[k]
+    return out
+
+
 class Model:
     """Gated attention over tanh-encoded passages, trained by full-batch Adam."""
 
@@ -95,10 +103,10 @@ class Model:
         self.mean, self.std = np.zeros(FEATURES), np.ones(FEATURES)
         self.trained = False
 
-    def _forward(self, x, document, n):
-        h = np.tanh(x @ self.e + self.eb)
-        t, g = np.tanh(h @ self.v), sigmoid(h @ self.u)
-        a = (t * g) @ self.w
+    def _forward(self, x, document, n, times=np.matmul):
+        h = np.tanh(times(x, self.e) + self.eb)
+        t, g = np.tanh(times(h, self.v)), sigmoid(times(h, self.u))
+        a = times(t * g, self.w[:, None])[:, 0]
         top = np.full(n, -np.inf)
         np.maximum.at(top, document, a)
         a = np.exp(a - top[document])
@@ -142,8 +150,8 @@ class Model:
         out = [np.zeros(0)]
         for part in in_parts(texts, 1 << 19):
             x, document = passages(part)
-            z = self._forward(np.clip((x - self.mean) / self.std, -8, 8), document, len(part))[4]
-            out.append(sigmoid(z @ self.c + self.cb[0]))
+            z = self._forward(np.clip((x - self.mean) / self.std, -8, 8), document, len(part), in_order)[4]
+            out.append(sigmoid(in_order(z, self.c[:, None])[:, 0] + self.cb[0]))
         return np.concatenate(out)
 
 

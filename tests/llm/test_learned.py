@@ -45,6 +45,25 @@ def test_classifiers_take_odd_rows(spark, module):
     assert module.score(documents.limit(0), module.fit(sample)).count() == 0
 
 
+def test_quality_sees_every_repeat_and_no_other_document():
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = word(200)
+    texts = [passage + word(100 + k) + passage for k in range(4)]
+    for lead in range(4):
+        x, document = quality.passages(["x" * lead, *texts])
+        assert all(x[document == k + 1][0, 2 * quality.CLASSES + 4] > 0.7 for k in range(4))
+    line = word(40)
+    texts += ["Ends with a letter", "!starts otherwise", "", f"{line}\n{line}\n", line + "\n" + word(900), line]
+    alone = [quality.passages([t])[0] for t in texts]
+    model = quality.Model().fit(["good clean words here", "BAD!! junk!! ###"] * 4, np.array([1, 0] * 4), steps=20)
+    scores = [model.score([t])[0] for t in texts]
+    for order in (range(len(texts)), rng.permutation(len(texts)), rng.permutation(len(texts))):
+        x, document = quality.passages([texts[k] for k in order])
+        assert all((x[document == s] == alone[k]).all() for s, k in enumerate(order))
+        assert model.score([texts[k] for k in order]).tolist() == [scores[k] for k in order]
+
+
 def test_labels_repeat_or_are_unusable(spark):
     from crossquery.llm.learning import labelled_sample
 
