@@ -11,7 +11,7 @@ point nearer than d_k would have been met before with that probability.
 Spread over a cluster: the top of the kd-tree is cut from the projections of a bounded sample
 (``sample`` rows of smallest id hash); each cell's rows, in blocks of about ``shard_rows``, are a shard with
 its own tree below. A query first gets its d_k from the sample, so it is sent only to cells within
-reach of the stopping radius, in blocks of ``query_block``. Every row is indexed. Vectors whose cells
+reach of the stopping radius, in blocks of ``query_block``; the sample's k best count as verified. Every row is indexed. Vectors whose cells
 coincide are split by id, so equal vectors never gather.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without an id, take no part,
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix, table
 from .sets import grouped
 from .vectors import dot, matrix
 
@@ -128,6 +128,13 @@ class Model:
                 out[s] = self.squared(x @ x, np.partition(scores, -self.k)[-self.k])
         return out * (1 + 1e-9)
 
+    def first_found(self, me: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best in the sample, or all if it has fewer."""
+        other = self.sample_ids != me
+        ids, scores = self.sample_ids[other], dot(self.sample, x)[other]
+        best = np.lexsort((ids, -scores))[: self.k]
+        return ids[best], scores[best]
+
 
 class Shard:
     """A kd-tree over projections of its rows, searched in order of projected distance."""
@@ -225,7 +232,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: floa
                     row, cell = np.nonzero(box_distances(model.boxes, p) <= model.reach * first[:, None])
                     row, salt = row.repeat(model.salts), np.tile(np.arange(model.salts), len(row))
                     shard = cell.repeat(model.salts) * model.salts + salt
-                    block = (ids % blocks)[row]
+                    block = (mix(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)[row]
                 else:
                     shard = cells_of(model.nodes, p) * model.salts + ids % model.salts
                     row = np.arange(len(ids)).repeat(blocks)
@@ -238,6 +245,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: floa
 
         return run
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            at, x = matrix(batch.column(1), model.dims)
+            ids = np.asarray(batch.column(0))[at]
+            near = [model.first_found(me, q) for me, q in zip(ids, x, strict=True)]
+            if near:
+                columns = [ids.repeat([len(n) for n, _ in near]), np.concatenate([n for n, _ in near]), np.concatenate([v for _, v in near])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
     schema = "tile long, query boolean, id long, vector array<double>, first double"
     dealt = base.mapInArrow(rows(False), schema).unionByName(asked.mapInArrow(rows(True), schema))
 
@@ -260,7 +277,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: floa
                     held.append(new)
         return {n: pa.array(np.concatenate(v)) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)}
 
-    met = grouped(dealt, "tile", found, SCHEMA)
+    # the sample's best are verified already: with them a query has k rows wherever there are k; shards find the same rows again
+    met = grouped(dealt, "tile", found, SCHEMA).withColumn("drawn", F.lit(0)).unionByName(asked.mapInArrow(sampled, SCHEMA).withColumn("drawn", F.lit(1)))
+    met = met.groupBy("query_id", "vec_id", "score").agg(F.greatest(F.sum("drawn"), F.sum(1 - F.col("drawn"))).cast("int").alias("copies"))
+    met = met.select("query_id", "vec_id", "score", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_")).drop("_")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows of each shard
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

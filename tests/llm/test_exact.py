@@ -1,6 +1,7 @@
 """Operators with exact results, against the libraries or brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -334,6 +335,18 @@ def test_estimates_are_unbiased():
     assert abs(np.mean(found) - (o @ q.T)[0, 0]) < 0.01 and within == 400
 
 
+def test_neighbours_are_twenty_in_tight_clusters(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(143, 64)), 21, 0) + 0.02 * rng.normal(size=(3003, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(rows, rows.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(got) == 151 and all(len(v) == len(set(v)) == 20 for v in got.values())
+    assert all({v // 21 for v in near} == {q // 21} for q, near in got.items())
+
+
 # ---- licences
 
 
