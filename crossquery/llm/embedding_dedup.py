@@ -7,7 +7,7 @@ like exp(-c e^2). Pairs whose estimate plus that bound (``width`` = e) stays und
 others are recomputed exactly, in double precision, so no pair below the threshold links.
 
 Candidates share a band: runs of code bits under one label, their number of bits following from the
-largest label's count (none, so all pairs, up to ``bucket`` vectors) and the number of bands from the
+label's own count (none, so all pairs, up to ``bucket`` vectors) and the number of bands from the
 recall wanted for pairs at the threshold. Bands of over ``tile`` vectors are dealt to pairs of blocks; a pair
 counts in the first band that it shares. Tasks return counts and spanning forests, never all pairs.
 
@@ -46,13 +46,14 @@ class Coder:
     def padded(self, unit: np.ndarray) -> np.ndarray:
         return np.hstack([unit, np.zeros((len(unit), self.size - self.dims))])
 
-    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Packed signs of the first rotation, factors, and each band's bits."""
+    def encode(self, unit: np.ndarray, bands: int | None = None, bits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Packed signs of the first rotation, factors, and each band's bits (of as many bands and bits as there are, or fewer)."""
+        bands, bits = (self.bands, self.bits) if bands is None else (bands, bits)
         turned = [self.padded(unit) @ r for r in self.rotations]
         signs = np.hstack([t > 0 for t in turned])
         factor = np.abs(turned[0]).sum(1) / math.sqrt(self.size)
-        weights = 1 << np.arange(self.bits)
-        keys = np.stack([signs[:, b * self.bits : (b + 1) * self.bits] @ weights for b in range(self.bands)], 1) if self.bits else np.zeros((len(unit), 1), np.int64)
+        weights = 1 << np.arange(bits)
+        keys = np.stack([signs[:, b * bits : (b + 1) * bits] @ weights for b in range(bands)], 1) if bits else np.zeros((len(unit), 1), np.int64)
         return np.packbits(signs[:, : self.size], axis=1), factor, keys.astype(np.int32)
 
     def estimates(self, codes: np.ndarray, factor: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def compare(coder: Coder, ids: np.ndarray, counts: np.ndarray, codes: np.ndarray
     return links, edges
 
 
-def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, width: float = 3.5, bucket: int = 512, tile: int = 1024) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, width: float = 3.5, bucket: int = 512, tile: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector."""
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -134,12 +135,12 @@ def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, widt
 
     named = base.mapInArrow(usable, "vec_id long, label string, id long, embedding array<double>")
     classes = cut(named.where("id is not null").groupBy("id").agg(F.first("label").alias("label"), F.min("vec_id").alias("own"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")))
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    per_label = cut(classes.groupBy("label").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > bucket))
+    largest = per_label.agg(F.max("members")).first()[0] or 0
     coder = Coder(dims, *plan(largest, threshold, bucket, recall))
     shared = spark.sparkContext.broadcast(coder)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -147,13 +148,19 @@ def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, widt
             scale = np.abs(x).max(1)[:, None]  # so that squares neither vanish nor overflow
             x = x / scale
             unit = x / np.sqrt(dot(x, x))[:, None]
-            codes, factor, keys = coder.encode(unit)
-            for b in range(keys.shape[1]):
-                raw = lambda a: pa.array([v.tobytes() for v in np.ascontiguousarray(a)], pa.binary())
-                columns = [batch.column(1), pa.array(np.full(len(x), b, np.int32)), pa.array(keys[:, b]), batch.column(0), batch.column(2), raw(codes), pa.array(factor), raw(keys), raw(unit)]
-                yield pa.RecordBatch.from_arrays(columns, ["label", "band", "bits", "id", "n", "code", "factor", "keys", "unit"])
-
-    bands = classes.select("id", "label", "n", "embedding").mapInArrow(coded, "label string, band int, bits int, id long, n long, code binary, factor double, keys binary, unit binary")
+            members = np.asarray(batch.column(4))
+            for count in np.unique(members):
+                yield from banded(batch.filter(pa.array(members == count)), unit[members == count], *plan(int(count), threshold, bucket, recall))
+
+    def banded(batch: pa.RecordBatch, unit: np.ndarray, n_bands: int, bits: int) -> Iterator[pa.RecordBatch]:
+        codes, factor, keys = shared.value.encode(unit, n_bands, bits)
+        for b in range(keys.shape[1]):
+            raw = lambda a: pa.array([v.tobytes() for v in np.ascontiguousarray(a)], pa.binary())
+            columns = [batch.column(1), pa.array(np.full(len(unit), b, np.int32)), pa.array(keys[:, b]), batch.column(0), batch.column(2), raw(codes), pa.array(factor), raw(keys), raw(unit)]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "band", "bits", "id", "n", "code", "factor", "keys", "unit"])
+
+    sized = classes.join(per_label, "label", "left").select("id", "label", "n", "embedding", F.coalesce("members", F.lit(0)).alias("members"))
+    bands = sized.mapInArrow(coded, "label string, band int, bits int, id long, n long, code binary, factor double, keys binary, unit binary")
     counts = bands.groupBy("label", "band", "bits").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
     met = bands.join(counts, ["label", "band", "bits"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

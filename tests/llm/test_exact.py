@@ -347,6 +347,36 @@ def test_neighbours_are_twenty_in_tight_clusters(spark):
     assert all({v // 21 for v in near} == {q // 21} for q, near in got.items())
 
 
+def test_embedding_dedup_of_labels_over_the_bucket(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(450, 32))
+    near = centres + 0.36 * rng.normal(size=centres.shape)
+    x = np.concatenate([centres, near, centres[:40] + 0.36 * rng.normal(size=(40, 32))])
+    labels = np.array(["large"] * 900 + ["small"] * 40)
+    labels[:40] = "small"
+    rows = [(k, v.tolist(), str(c)) for k, (v, c) in enumerate(zip(x, labels, strict=True))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    expected = ((unit @ unit.T >= 0.93) & (labels[:, None] == labels)).sum(1) - 1
+    assert expected.sum() > 300 and [got[k] for k in range(len(x))] == expected.tolist()
+
+
+def test_bands_find_nearly_all_pairs_at_the_threshold():
+    import inspect
+
+    recall = inspect.signature(embedding_dedup.link).parameters["recall"].default
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.931 * a + math.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    for largest in (5_000, 100_000):
+        coder = embedding_dedup.Coder(64, *embedding_dedup.plan(largest, 0.93, 512, recall))
+        met = (coder.encode(a)[2] == coder.encode(b)[2]).any(1).mean()
+        print(largest, coder.bands, coder.bits, met)
+        assert met >= 0.999
+
+
 # ---- licences
 
 
