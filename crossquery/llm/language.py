@@ -260,6 +260,8 @@ def keep(documents: DataFrame, model: Model, least_score: float = 0.5) -> DataFr
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        if not shared.value.languages:
+            return lambda texts: np.zeros(len(texts), bool)
         scorer = scorer_of(shared.value)
 
         def wanted(texts: list[str]) -> np.ndarray:

@@ -102,6 +102,11 @@ def test_language_takes_odd_rows(spark):
     assert language.identify(documents.limit(0), model).count() == 0
 
 
+def test_language_keeps_nothing_without_languages(spark):
+    documents = spark.createDataFrame([(1, "plain words", None), (2, "", None)], "doc_id long, text string, lang string")
+    assert language.keep(documents, language.learn(documents)).count() == 0
+
+
 def test_pipeline(spark):
     names = table(spark, SF, "documents").columns
     docs = table(spark, SF, "documents")
