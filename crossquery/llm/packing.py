@@ -10,10 +10,13 @@ vectorised minimum over the array. Ties go to the fuller level.
 Every task packs what it reads and shuffles nothing. When its input ends, or when ``max_open``
 windows are open (all rests just over half a window would otherwise keep every window open), the
 open windows are closed exactly: the emptiest are poured, cut where needed, into the fullest, and
-what is left is cut into powers of two, lengths at which no padding is needed.
+what is left is cut into powers of two, lengths at which no padding is needed. This bound on a
+task's memory is the one departure from sum-of-squares placement; it drops and pads nothing.
 
 A document's ids are those of the tokenizer and one end id, so a null or empty text is one id.
 Sequence ids are unique (task number and a counter), not dense. One id lies in exactly one piece.
+Repeated rows are documents of their own, each with its pieces; equal fills are ties, which go to the
+window opened last. A null ``doc_id`` is kept. An empty table gives no piece. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,8 +75,10 @@ class WordTable(dict):
 
     @staticmethod
     def _joins_nothing(core: bytes) -> bool:
+        """Whether what follows starts a pre-token of its own: the core ends, lower-cased, in a letter or digit that
+        normalising leaves whole (beyond Latin letters some fall apart into a letter and a mark, which joins punctuation)."""
         last = core.decode()[-1]
-        return last.isalpha() or last.isdecimal()
+        return last < "\u0250" and (last.isdecimal() or (last.isalpha() and last.lower().isalpha()))
 
     def _encode(self, chunk: bytes) -> bytes:
         text = chunk.decode()

@@ -87,6 +87,21 @@ def test_packing(spark, max_open):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_ids_are_the_tokenizers():
+    """Letters that lower-casing or normalising takes apart, marks and every character of a chunk's tail."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), packing.WordTable(path, 10_000)
+    rng = random.Random(6)
+    tail = packing._TAIL.decode()
+    alphabet = tail + "İIıiſßŉΣς\u0958\u0344\u0300\u0338\u212a\u1e9eǅé日가ᄀ각a1²½'<|> \t\u00a0\u0660x"
+    made = [c + t for c in alphabet for t in tail]
+    made += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 8))) + rng.choice(tail) for _ in range(20_000)]
+    expected = tokenizer.encode_batch(made, add_special_tokens=False)
+    assert [t for t, e in zip(made, expected, strict=True) if words.encode(t).tolist() != e.ids] == []
+
+
 def test_packing_minimises_squares():
     """Each placement, against the sum of squares tried for every level."""
     rng, got = random.Random(4), []
