@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -396,18 +398,34 @@ def test_bands_find_nearly_all_pairs_at_the_threshold():
 
 
 def test_licenses(spark):
-    mit = licenses.KNOWN["MIT"]
-    variants = [mit, mit.upper().replace(",", " ;"), mit.replace("MIT License\n\n", "MIT Licence\n\nCopyright (c) 2020 A. Person\n\n"), mit.replace("sublicense", "sub-licence")]
-    rows = [*variants, f"before {mit}", None, "", "...", "Released under the MIT licence", "(c) 2001 nobody"]
+    mit = licenses.SHORT["MIT"]
+    variants = [f"MIT License\n\n{mit}", mit.upper().replace(",", " ;"), f"The MIT Licence (MIT)\n\nCopyright (c) 2020 A. Person\nCopyright 2021, B. Person\nAll rights reserved.\n\n{mit}", mit.replace("sublicense", "sub-licence"), mit.replace('"', "\u201c").replace("-", "\u2014")]
+    rows = [*variants, f"before {mit}", None, "", "...", "Released under the MIT licence", "(c) 2001 nobody", mit.replace("Software", "Hardware", 1), f"{mit}\ncopyright holders may not use it"]
     documents = spark.createDataFrame([(k, t, "z", "w") for k, t in enumerate(rows)], "doc_id long, text string, license string, canonical_sha256 string")
     got = {r["doc_id"]: (r["license"], r["canonical_sha256"]) for r in licenses.scan(documents).collect()}
-    assert [got[k][0] for k in range(len(rows))] == ["MIT"] * 4 + [None, None, None, None, "notice:MIT", None]
-    assert [got[k][1] is None for k in range(len(rows))] == [False] * 5 + [True] * 3 + [False, True]
+    assert [got[k][0] for k in range(len(rows))] == ["MIT"] * 5 + [None] * 4 + ["notice:MIT"] + [None] * 3
+    assert [got[k][1] is None for k in range(len(rows))] == [False] * 6 + [True] * 3 + [False, True, False, False]
     own = spark.createDataFrame([("a", "X y"), ("b", "x, Y"), ("c", None)], "name string, text string")
     assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "x y")], "doc_id long, text string"), own).collect()] == ["a"]
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_are_found_however_they_are_wrapped(spark):
+    """Every known text at all widths from 40 to 120, with a copyright statement before the short ones; by Spark and by SQL."""
+    rows = []
+    for name, text in licenses.known_texts():
+        paragraphs = re.split(r"\n[ \t]*\n", text)
+        for width in range(40, 121) if text in licenses.SHORT.values() else range(40, 121, 4):
+            wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in paragraphs)
+            rows.append((len(rows), name, "Copyright (c) 1999, 2004 Some Body <a@b.c>\n\n" + wrapped if name in licenses.SHORT else wrapped))
+    documents = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "name", "text"]))
+    got = {r["doc_id"]: (r["canonical_sha256"], r["license"]) for r in licenses.scan(documents).collect()}
+    assert [r[1] for r in rows if got[r[0]][1] != r[1]] == []
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame([(r[0], r[2]) for r in rows], columns=["doc_id", "text"]))
+        assert {d: (c, x) for d, c, x in db.execute(licenses.oracle()).fetchall()} == got
+
+
 def test_licenses_sql(spark, sf_dir):
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
