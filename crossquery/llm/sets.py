@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix
@@ -80,33 +80,68 @@ def _unsqueezed(x: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), np.uint8)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", hub: int = 1000) -> DataFrame:
     """id, component: the smallest id reachable, for every id in an edge. Edges may repeat; nulls have no place here.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each vertex links its larger
     neighbours, then its smaller ones, to the smallest of them; rounds grow with the logarithm of a
     path's length, and edges never get more. Every round is checkpointed to the shared folder.
+    A vertex with over ``hub`` edges and over a 500th of all never meets its edges in one task.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs = cut(pairs)
+    n = pairs.count()
     while True:
+        most = max(hub, n // 500)
         # large star: for a vertex x and its least neighbour m (or x), larger neighbours go to m
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, most, F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours, and the vertex itself, go to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-        small = large.join(least, large["u"] == least["x"])
+        small = _with_least(large, most, F.col("m"))
         small = small.select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = cut(small)
-        changed = small.join(pairs, ["u", "v"], "left_anti").limit(1).count()
-        if not changed and small.count() == pairs.count():
+        before, n = n, small.count()
+        if n == before and not small.join(pairs, ["u", "v"], "left_anti").limit(1).count():
             break
         pairs = small
     ends = small.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return small.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def _with_least(edges: DataFrame, most: int, least: Column) -> DataFrame:
+    """u, v, m: every edge with what ``least`` makes of u and the least neighbour m of u.
+
+    Vertices with over ``most`` edges are at most all edges' number over ``most``, so they are broadcast.
+    """
+    ends = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("x"), least.alias("m"), "n")
+    hubs = F.broadcast(ends.where(F.col("n") > most).select("x", "m"))
+    rest = edges.join(hubs, F.col("u") == F.col("x"), "left_anti").join(ends.where(F.col("n") <= most).select("x", "m"), F.col("u") == F.col("x"))
+    return rest.unionByName(edges.join(hubs, F.col("u") == F.col("x"))).select("u", "v", "m")
+
+
+class Renamed:
+    """New names for what has another's 64-bit name: (name, second hash) -> name. Two hashes of 128 bits tell things apart."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        self.pairs, self.names = pairs, np.array([n for n, _ in pairs], np.int64)
+
+    def apply(self, names: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        if len(self.names) and len(at := np.flatnonzero(np.isin(names, self.names))):
+            names = names.copy()
+            names[at] = [self.pairs.get((n, c), n) for n, c in zip(names[at].tolist(), checks[at].tolist(), strict=True)]
+        return names
+
+
+def renamed(named: DataFrame, name: str, check: str) -> Renamed:
+    """What a second hash finds to be different under one name: n names of 64 bits make about n * n / 2 ** 65 such pairs, a few in 10 ** 10."""
+    several = named.groupBy(name).agg(F.min(check).alias("least"), F.max(check).alias("most")).where("least <> most").select(name)
+    found = named.join(several, name).select(name, check).distinct().collect()
+    kept: dict[int, int] = {}
+    for r in found:
+        kept[r[0]] = min(kept.get(r[0], r[1]), r[1])
+    return Renamed({(r[0], r[1]): int(mix(np.array([r[0] ^ (r[1] >> 1)], np.int64).view(np.uint64)).view(np.int64)[0]) for r in found if r[1] != kept[r[0]]})
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
     """The groups of rows with one key in a task's batches, which must be sorted by that column."""
     held: list[pa.RecordBatch] = []

@@ -12,11 +12,15 @@
    search over prefix polynomial hashes. Extensions of neighbours are verified byte by byte; on a
    collision the bytes themselves are sorted. A window that starts ``l`` bytes before the anchor is
    repeated where another segment shares ``l`` bytes before and ``LENGTH - l`` bytes after it.
-4. Anchors that occur over ``hot`` times never meet in a task: their windows are counted by two
-   64-bit hashes instead.
+4. Runs of an anchor that occurs over ``hot`` times never meet in a task: their windows are counted by two
+   64-bit hashes instead, and the bytes of windows with equal hashes are compared (least with greatest; windows of
+   a collision are counted by their bytes).
+
+What joins a segment or a text to its places are 128 bits of hashes of the whole of it.
 
 Results are judged on the input. Null is empty. Repeated rows (same id, same text) each count as a
-document, so their windows repeat, and each gives its row. Texts shorter than ``LENGTH`` bytes keep all.
+document, so their windows repeat, and each gives its row. Texts shorter than ``LENGTH`` bytes keep all. An empty
+table gives an empty one. Extra columns are ignored, or carried along by ``strip``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, sliced, table, text_bytes
+from .common import by_bytes, cut, release_held, row_columns, row_struct, sliced, table, text_bytes
 from .sets import BitFilter, bit_filter
 
 LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1  # anchors' choices in a window
 _POSITION = np.uint64((1 << 24) - 1)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -211,22 +215,39 @@ def repeated(segments: list[bytes], anchors: np.ndarray, first: np.ndarray, last
     return out
 
 
+#: What names a text: its id, and two hashes.
+TEXT = ["jd", "th", "tk"]
+
+
 def _each_run(documents: DataFrame, work, schema: str) -> DataFrame:
-    """Maps (jd, th, text) rows: ``work(ids, hashes, run arrays)`` gives a record batch for each piece of text."""
+    """Maps rows of TEXT and the text: ``work(names, run arrays)`` gives a record batch for each piece of text."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         for batch in sliced(batches):
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(3))
             for found in runs(data, offsets):
-                if (out := work(np.asarray(batch.column(0)), np.asarray(batch.column(1)), found)) is not None:
+                if (out := work([np.asarray(batch.column(k)) for k in range(3)], found)) is not None:
                     yield out
 
     return documents.mapInArrow(tasks, schema)
 
 
-def _kept(documents: DataFrame) -> DataFrame:
+def _named(documents: DataFrame) -> list:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("jd"), F.xxhash64(text).alias("th"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("jd"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tk"), text.alias("whole")]
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], [*columns])
+
+
+def _digests(pieces: list) -> dict[str, np.ndarray]:
+    """128 bits of each byte string, as two columns."""
+    import xxhash
+
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in pieces]), np.int64).reshape(-1, 2)
+    return {"one": both[:, 0], "two": both[:, 1]}
 
 
 def _windows_hashes(piece: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,41 +273,52 @@ def _hot_windows(found: tuple, hot: BitFilter):
     return run, at, *_windows_hashes(piece, at + place[run])
 
 
-def covered(documents: DataFrame, hot: int = 50_000, bits: int = 27) -> DataFrame:
-    """jd, th, begin, end: byte ranges covered by repeated windows (ranges may overlap), by text."""
-    rows = _kept(documents).select("jd", "th", "text").where(F.octet_length("text") >= LENGTH)
-    keys = _each_run(rows, lambda i, t, f: pa.RecordBatch.from_arrays([pa.array(f[4])], ["key"]), "key long").groupBy("key").count().where("count > 1")
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From TEXT, the place of an anchor and a bitmap of ``l``: the ranges that its repeated windows cover."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)[:, :SPAN].astype(np.int8)
+        edge = np.diff(bits, axis=1, prepend=0, append=0)
+        row, low = np.nonzero(edge == 1)
+        _, high = np.nonzero(edge == -1)  # runs of l in [low, high): windows from anchor - (high - 1) to anchor - low
+        anchor = np.asarray(batch.column(3))[row]
+        names = {n: np.asarray(batch.column(k))[row] for k, n in enumerate(TEXT)}
+        yield _batch(**names, begin=anchor - high + 1, end=anchor - low + LENGTH)
+
+
+def covered(documents: DataFrame, hot: int = 50_000, bits: int = 26) -> DataFrame:
+    """jd, th, tk, begin, end: byte ranges covered by repeated windows (ranges may overlap), by text."""
+    rows = documents.select(*_named(documents)).where(F.octet_length("whole") >= LENGTH)
+    keys = _each_run(rows, lambda names, found: _batch(key=found[4]), "key long").groupBy("key").count().where("count > 1")
     keys = cut(keys)
     some = bit_filter(keys, "key", bits)
     hot_keys = keys.where(F.col("count") > hot)
     any_hot = bool(hot_keys.limit(1).count())
     hot_filter = bit_filter(hot_keys, "key", 20) if any_hot else BitFilter(20, bytes(1 << 17))
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((some, hot_filter))  # 2 ** bits / 8 bytes, whatever the rows
+    shared = documents.sparkSession.sparkContext.broadcast((some, hot_filter))  # 2 ** bits / 8 bytes, whatever the rows
 
     def warm(found):
         some, hot_filter = shared.value
         return np.flatnonzero(some.has(found[4]) & ~hot_filter.has(found[4]))
 
-    def segments(_, __, found):
-        text, first, last, anchor, key, piece, place = found
-        own = warm(found)
-        bytes_ = [piece[f:e].tobytes() for f, e in zip((first + place)[own].tolist(), (last + place + LENGTH)[own].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array((anchor - last)[own].astype(np.int16)), pa.array((anchor - first)[own].astype(np.int16)), pa.array(bytes_, pa.binary())], ["key", "lo", "hi", "segment"])
+    def cut_out(found, own):
+        _, first, last, _, _, piece, place = found
+        return [piece[f:e].tobytes() for f, e in zip((first + place)[own].tolist(), (last + place + LENGTH)[own].tolist(), strict=True)]
 
-    def places(ids, hashes, found):
+    def segments(names, found):
         text, first, last, anchor, key, piece, place = found
         own = warm(found)
-        import xxhash
+        return _batch(key=key[own], lo=(anchor - last)[own].astype(np.int16), hi=(anchor - first)[own].astype(np.int16), segment=pa.array(cut_out(found, own), pa.binary()))
 
-        named = [xxhash.xxh64_intdigest(piece[f:e]) for f, e in zip((first + place)[own].tolist(), (last + place + LENGTH)[own].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(np.array(named, np.uint64).view(np.int64)), pa.array(ids[text[own]]), pa.array(hashes[text[own]]), pa.array(anchor[own])], ["key", "segment_id", "jd", "th", "anchor"])
+    def places(names, found):
+        own = warm(found)
+        text = found[0][own]
+        return _batch(key=found[4][own], **_digests(cut_out(found, own)), **{n: v[text] for n, v in zip(TEXT, names, strict=True)}, anchor=found[3][own])
 
     distinct = _each_run(rows, segments, "key long, lo short, hi short, segment binary").groupBy("key", "lo", "hi", "segment").count()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         held, size, last_key = [], 0, None
 
         def out():
@@ -297,18 +329,18 @@ def covered(documents: DataFrame, hot: int = 50_000, bits: int = 27) -> DataFram
             group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
             found = repeated(bytes_, hi, lo, hi, counts, group)
             own = np.flatnonzero(found.any(1))
-            named = np.array([xxhash.xxh64_intdigest(bytes_[s]) for s in own], np.uint64).view(np.int64)
             bitmaps = np.packbits(found[own], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(named), pa.array([x.tobytes() for x in bitmaps], pa.binary())], ["key", "segment_id", "windows"])
+            return _batch(key=key[own], **_digests([bytes_[s] for s in own]), windows=pa.array([x.tobytes() for x in bitmaps], pa.binary()))
 
+        release_held()
         for batch in batches:
             keys = np.asarray(batch.column(0))
             while batch.num_rows:
-                if size > 12_000 and keys[0] != last_key:
+                if size > 4_000 and keys[0] != last_key:
                     yield out()
                     held, size = [], 0
                 # up to the end of the first run of one key, if a cut is due, or the whole batch
-                n = len(keys) if size + len(keys) <= 12_000 else int(np.argmax(keys != keys[0])) or len(keys)
+                n = len(keys) if size + len(keys) <= 4_000 else int(np.argmax(keys != keys[0])) or len(keys)
                 held.append(batch.slice(0, n))
                 size += n
                 last_key = keys[n - 1]
@@ -316,35 +348,52 @@ def covered(documents: DataFrame, hot: int = 50_000, bits: int = 27) -> DataFram
         if held:
             yield out()
 
-    resolved = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(resolve, "key long, segment_id long, windows binary")
-    at = _each_run(rows, places, "key long, segment_id long, jd long, th long, anchor long")
+    resolved = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(resolve, "key long, one long, two long, windows binary")
+    at = _each_run(rows, places, "key long, one long, two long, jd long, th long, tk long, anchor long")
+    spans = "jd long, th long, tk long, begin long, end long"
+    out = at.join(resolved, ["key", "one", "two"]).select(*TEXT, "anchor", "windows").mapInArrow(_ranges, spans)
+    return out.unionByName(_of_hot(rows, shared).mapInArrow(_ranges, spans)) if any_hot else out
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits_ = np.unpackbits(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)[:, :SPAN].astype(np.int8)
-            edge = np.diff(bits_, axis=1, prepend=0, append=0)
-            row, low = np.nonzero(edge == 1)
-            _, high = np.nonzero(edge == -1)  # runs of l in [low, high): windows from anchor - (high - 1) to anchor - low
-            anchor = np.asarray(batch.column(2))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[row]), pa.array(np.asarray(batch.column(1))[row]), pa.array(anchor - high + 1), pa.array(anchor - low + LENGTH)], ["jd", "th", "begin", "end"])
-
-    out = at.join(resolved, ["key", "segment_id"]).select("jd", "th", "anchor", "windows").mapInArrow(ranges, "jd long, th long, begin long, end long")
-    if any_hot:
-        def hot_hashes(_, __, found):
-            run, _, one, two = _hot_windows(found, shared.value[1])
-            return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["one", "two"]) if len(run) else None
-
-        def hot_places(ids, hashes, found):
+
+def _of_hot(rows: DataFrame, shared) -> DataFrame:
+    """TEXT, anchor, windows (a bitmap of ``l``) of the repeated windows of hot anchors.
+
+    Hashes say which windows can be repeated; their bytes are compared before they count.
+    """
+
+    def windows(with_places: bool):
+        def one(names, found):
             run, at, one, two = _hot_windows(found, shared.value[1])
-            text = found[0][run]
-            return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[text]), pa.array(hashes[text]), pa.array(at)], ["one", "two", "jd", "th", "at"]) if len(run) else None
+            if not len(run):
+                return None
+            _, _, _, anchor, _, piece, place = found
+            own = at + place[run]
+            out = {"one": one, "two": two, "window": pa.array([piece[p : p + LENGTH].tobytes() for p in own.tolist()], pa.binary())}
+            if with_places:
+                out |= {n: v[found[0][run]] for n, v in zip(TEXT, names, strict=True)} | {"anchor": anchor[run], "l": (anchor[run] - at).astype(np.int16)}
+            return _batch(**out)
+
+        return one
+
+    counted = _each_run(rows, windows(False), "one long, two long, window binary").groupBy("one", "two")
+    # cut, so that the join below deals both sides itself and a window that is everywhere can be split
+    again = cut(counted.agg(F.count(F.lit(1)).alias("n"), F.min("window").alias("least"), F.max("window").alias("most")).where("n > 1"))
+    places = _each_run(rows, windows(True), "one long, two long, window binary, jd long, th long, tk long, anchor long, l short")
+    found = places.drop("window").join(again.where("least = most").select("one", "two"), ["one", "two"])
+    if again.where("least <> most").limit(1).count():  # a collision of both hashes
+        both = places.join(again.where("least <> most").select("one", "two"), ["one", "two"])
+        exact = both.groupBy("window").count().where("count > 1").select("window")
+        found = found.unionByName(both.join(exact, "window").drop("window"))
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, SPAN), bool)
+            for k, own in enumerate(batch.column(4).to_pylist()):
+                bits[k, own] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], [*TEXT, "anchor", "windows"])
 
-        again = _each_run(rows, hot_hashes, "one long, two long").groupBy("one", "two").count().where("count > 1").drop("count")
-        hot_rows = _each_run(rows, hot_places, "one long, two long, jd long, th long, at long").join(again, ["one", "two"])
-        out = out.unionByName(hot_rows.select("jd", "th", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")))
-    return out
+    runs_ = found.groupBy(*TEXT, "anchor").agg(F.collect_set("l").alias("l"))  # SPAN members at most
+    return runs_.mapInArrow(bitmaps, "jd long, th long, tk long, anchor long, windows binary")
 
 
 def _joined(ranges: list) -> list[tuple[int, int]]:
@@ -357,35 +406,35 @@ def _joined(ranges: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def kept(documents: DataFrame, columns: list[str], finish, schema: str, hot: int = 50_000, bits: int = 27) -> DataFrame:
-    """``finish(rows, raws, ranges)`` gives the record batch for a batch of rows: a struct array of the given columns,
+def kept(documents: DataFrame, columns: list[str], finish, schema: str, hot: int = 50_000, bits: int = 26) -> DataFrame:
+    """``finish(rows, raws, ranges)`` gives the record batch for a batch of rows: a struct array ``row`` of the given columns,
     each text's bytes, and its maximal removed ranges. Texts without a removed range are never dealt out."""
     spans = covered(documents, hot, bits)
-    spans = cut(spans.groupBy("jd", "th").agg(F.collect_set(F.struct("begin", "end")).alias("ranges")))  # no more than a text has bytes
+    spans = cut(spans.groupBy(*TEXT).agg(F.collect_set(F.struct("begin", "end")).alias("ranges")))  # a range for each run of windows, at most
     touched = bit_filter(spans, "th", 24)
     shared = documents.sparkSession.sparkContext.broadcast(touched)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(True).alias("_"))
-    rows = documents.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("jd"), F.xxhash64(text).alias("th"), text.alias("whole"))
+    rows = documents.select(row_struct(documents, columns), *_named(documents))
     raw = lambda x: x.as_py().encode("utf-8", "surrogatepass")
 
     # one Python step in a stage: each more would be one more worker for every core
     def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         for batch in sliced(batches):
             yield batch.filter(pa.array(shared.value.has(np.asarray(batch.column(2)))))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         for batch in sliced(batches):
             own = batch.filter(pa.array(~shared.value.has(np.asarray(batch.column(2)))))
             if own.num_rows:
-                yield finish(own.column(0), [raw(x) for x in own.column(3)], [[]] * own.num_rows)
+                yield finish(own.column(0), [raw(x) for x in own.column(4)], [[]] * own.num_rows)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ranges = [_joined([(y["begin"], y["end"]) for y in r.as_py() or []]) for r in batch.column(2)]
             yield finish(batch.column(0), [raw(x) for x in batch.column(1)], ranges)
 
-    hit = rows.mapInArrow(perhaps, rows.schema).join(spans, ["jd", "th"], "left").select("row", "whole", "ranges")
+    hit = rows.mapInArrow(perhaps, rows.schema).join(spans, TEXT, "left").select("row", "whole", "ranges")
     return hit.mapInArrow(strip, schema).unionByName(rows.mapInArrow(clean, schema))
 
 
@@ -397,26 +446,26 @@ def _left(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def strip(documents: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, without repeated passages; characters cut apart go; ``n_chars`` follows where there is one."""
     others = [c for c in documents.columns if c != "text"]
-    inner = documents.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_")).alias("row")).schema["row"].dataType.simpleString()
+    inner = documents.select(row_struct(documents, others)).schema["row"].dataType.simpleString()
 
     def finish(rows, raws, ranges):
         texts = [_left(x, r).decode("utf-8", "ignore") for x, r in zip(raws, ranges, strict=True)]
-        return pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], ["row", "text"])
+        return _batch(row=rows, text=pa.array(texts, pa.string()))
 
     out = kept(documents, others, finish, f"row {inner}, text string", **options)
-    return out.select(*[F.col("text") if c == "text" else F.length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in documents.columns])
+    length = {"n_chars": F.length("text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in others else {}
+    named = dict(zip(others, row_columns(others, length), strict=True))
+    return out.select(*[named.get(c, F.col("text")) for c in documents.columns])
 
 
-def digests(documents: DataFrame, hot: int = 50_000, bits: int = 27) -> DataFrame:
+def digests(documents: DataFrame, hot: int = 50_000, bits: int = 26) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
 
     def finish(rows, raws, ranges):
         gone = [sum(b - a for a, b in r) for r in ranges]
         sha = [hashlib.sha256(_left(x, r)).hexdigest() for x, r in zip(raws, ranges, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [rows.field("doc_id").cast(pa.int64()), pa.array([len(x) for x in raws], pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in ranges], pa.int64()), pa.array(sha, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+        ids, count = rows.field("c0").cast(pa.int64()), lambda x: pa.array(x, pa.int64())
+        return _batch(doc_id=ids, n_bytes=count([len(x) for x in raws]), n_removed=count(gone), n_spans=count([len(r) for r in ranges]), kept_sha256=pa.array(sha, pa.string()))
 
     return kept(documents, ["doc_id"], finish, SCHEMA, hot, bits)
 

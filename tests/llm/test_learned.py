@@ -85,10 +85,24 @@ def test_language_totals_are_all_segmentations():
         for k in range(2):
             forward = [1.0] + [0.0] * len(w)
             for end in range(1, len(w) + 1):
-                forward[end] = sum(forward[s] * model.p[number[w[s:end]], k] for s in range(max(0, end - language.LONGEST), end) if w[s:end] in number)
+                forward[end] = sum(forward[s] * model.p[number[w[s:end]], k] for s in range(0, end) if w[s:end] in number)
             assert math.isclose(model.log_totals([w])[0][k], math.log(forward[-1]), rel_tol=1e-9)
 
 
+def test_language_has_every_piece_and_label(spark):
+    """Pieces of all lengths, and more labels than any small bound."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [p.id_to_piece(k).replace("▁", " ") for k in range(p.vocab_size()) if not (p.is_control(k) or p.is_byte(k) or p.is_unknown(k))]
+    pieces = language.vocabulary(path)
+    assert {x.encode() for x in names if x == x.lower() and x.strip()} <= set(pieces) and max(map(len, pieces)) > 20
+    rows = [(k, f"word{'abcdefghijklmnopqrst'[k % 20]}{'abcdefghijklmnopqrst'[k // 20]} common", f"l{k:03}") for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [r[2] for r in rows]
+
+
 def test_language_takes_odd_rows(spark):
     documents = spark.createDataFrame([(d, t, None, "s") for d, t in [*ODD, (5, "z" * 5000)]], "doc_id long, text string, lang string, score string")
     none = language.identify(documents, language.learn(documents)).collect()
