@@ -195,7 +195,7 @@ class Model:
 class Scorer:
     """A model and the distinct words it has scored so far, in about ``max_bytes``."""
 
-    def __init__(self, model: Model, max_bytes: int = 64 << 20):
+    def __init__(self, model: Model, max_bytes: int = 32 << 20):
         self.model, self.max_words = model, max(1000, max_bytes // (240 + 16 * len(model.languages)))
         self.clear()
 
@@ -285,7 +285,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, scores = [], []
-            for part in in_parts([x.as_py() or "" for x in batch.column(2)], 1 << 20):
+            for part in in_parts([x.as_py() or "" for x in batch.column(2)], 1 << 18):
                 if not shared.value.languages:
                     names, scores = [*names, *["und"] * len(part)], [*scores, np.zeros(len(part))]
                     continue
@@ -311,7 +311,7 @@ def keep(documents: DataFrame, model: Model, least_score: float = 0.5) -> DataFr
 
         def wanted(texts: list[str]) -> np.ndarray:
             out = [np.zeros(0, bool)]
-            for part in in_parts(texts, 1 << 20):
+            for part in in_parts(texts, 1 << 18):
                 names, scores = scorer.rows(part)
                 out.append((np.array(names) != "und") & (scores >= least_score))
             return np.concatenate(out)

@@ -97,7 +97,7 @@ class WordTable(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, raw.replace(b"\n", b" ").split(b" "))), "<u2")
 
 
-def word_table(path: str, max_words: int = 400_000) -> WordTable:
+def word_table(path: str, max_words: int = 200_000) -> WordTable:
     return held_by_worker(("words", path, max_words), lambda: WordTable(path, max_words))
 
 

@@ -148,7 +148,7 @@ class Model:
         if not self.trained:
             return np.full(len(texts), 0.5)
         out = [np.zeros(0)]
-        for part in in_parts(texts, 1 << 19):
+        for part in in_parts(texts, 1 << 17):
             x, document = passages(part)
             z = self._forward(np.clip((x - self.mean) / self.std, -8, 8), document, len(part), in_order)[4]
             out.append(sigmoid(in_order(z, self.c[:, None])[:, 0] + self.cb[0]))

@@ -34,7 +34,7 @@ class ChunkCodec:
 
     _runs = re.compile(f"{MARK}+[^{MARK}]*")
 
-    def __init__(self, model: str, max_chunks: int = 400_000):
+    def __init__(self, model: str, max_chunks: int = 200_000):
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -94,7 +94,7 @@ class ChunkCodec:
             rest, texts = zip(chunks, found, strict=True), {}
         return texts | {c: t for c, x in rest if (t := self.processor.decode(x)) != c}
 
-    def batches(self, texts: pa.Array, limit: int = 1 << 20):
+    def batches(self, texts: pa.Array, limit: int = 1 << 18):
         """The rows of all texts, about ``limit`` characters at a time."""
         held, size = [], 0
         for x in texts:
@@ -110,7 +110,7 @@ def codec(model: str, max_chunks: int) -> ChunkCodec:
     return held_by_worker(("chunks", model, max_chunks), lambda: ChunkCodec(model, max_chunks))
 
 
-def encode_decode(documents: DataFrame, model: str | None = None, max_chunks: int = 400_000) -> DataFrame:
+def encode_decode(documents: DataFrame, model: str | None = None, max_chunks: int = 200_000) -> DataFrame:
     """doc_id, ids (binary, little-endian uint32) and decoded text of each document: the operator itself."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -126,7 +126,7 @@ def encode_decode(documents: DataFrame, model: str | None = None, max_chunks: in
     return arrow_map(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), make, "doc_id long, ids binary, decoded string")
 
 
-def digests(documents: DataFrame, model: str | None = None, max_chunks: int = 400_000) -> DataFrame:
+def digests(documents: DataFrame, model: str | None = None, max_chunks: int = 200_000) -> DataFrame:
     """One row per document: number of ids and digests of ids and of the decoded text, so that ids never leave the worker."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
 

@@ -50,7 +50,7 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         out = []
-        for part in in_parts(texts, 1 << 19):
+        for part in in_parts(texts, 1 << 17):
             held = np.zeros((len(part), len(self.weight) + 1), bool)
             for owner, slot in slots(part):
                 held[owner, self.feature[slot]] = True  # -1 is the last column
