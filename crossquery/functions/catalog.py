@@ -2,7 +2,8 @@
 
 Where Spark's function of a name means something else than the plan language's, the builder
 composes what is meant: ``concat`` skips nulls, ``substr`` counts positions before 1, ``log`` is
-decimal, ``trunc`` rounds towards zero, ``regexp_replace`` replaces once unless told ``g``.
+decimal, ``trunc`` rounds towards zero, ``regexp_replace`` replaces once unless told ``g``, ``to_char`` takes
+strftime's specifiers, ``array_agg`` keeps nulls.
 """
 
 from __future__ import annotations
@@ -50,16 +51,109 @@ def _split_part(text: Column, delimiter: Column, part: Column) -> Column:
     return F.split_part(text, delimiter, part.cast("int"))
 
 
+def _expanded(text: Column, pattern: Column, other: Column) -> Column:
+    """The replacement with its group references filled from the first match, which is found in its context."""
+    groups = [(F.lit(f"${k}"), k) for k in range(10)]
+
+    def token(t: Column) -> Column:
+        out = F.when(F.startswith(t, F.lit("\\")), F.substring(t, 2, 1))
+        for name, k in groups:
+            out = out.when(t == name, F.call_function("regexp_extract", text, pattern, F.lit(k)))
+        return out.otherwise(t)
+
+    return F.concat_ws("", F.transform(F.regexp_extract_all(other, F.lit(r"\$[0-9]|\\.|[^$\\]+|."), F.lit(0)), token))
+
+
 def _regexp_replace(text: Column, pattern: Column, other: Column, flags: Column | None = None) -> Column:
     if flags is None:
-        # once: what precedes the first match, and the rest after it, found by the match's length
-        found = F.regexp_substr(text, pattern)
-        at = F.regexp_instr(text, pattern)
-        head = F.substring(text, F.lit(1), at - 1)
-        tail = F.substring(text, at + F.length(found), F.length(text))
-        return F.when(text.isNull() | pattern.isNull() | other.isNull(), F.lit(None)).when(at == 0, text).otherwise(F.concat(head, F.regexp_replace(found, pattern, other), tail))
-    every = F.regexp_replace(text, F.when(F.contains(flags, F.lit("i")), F.concat(F.lit("(?i)"), pattern)).otherwise(pattern), other)
-    return F.when(F.contains(flags, F.lit("g")), every).otherwise(_regexp_replace(text, pattern, other))
+        # once: the text is split at the first match, which sees what is around it
+        at, found = F.regexp_instr(text, pattern), F.call_function("regexp_extract", text, pattern, F.lit(0))
+        parts, filled = F.split(text, pattern, 2), _expanded(text, pattern, other)
+        once = F.when((at == 1) & (found == ""), F.concat(filled, text)).otherwise(F.concat(parts[0], filled, F.get(parts, F.lit(1))))
+        return F.when(text.isNull() | pattern.isNull() | other.isNull(), F.lit(None)).when(at == 0, text).otherwise(once)
+    pattern = F.when(F.contains(flags, F.lit("i")), F.concat(F.lit("(?i)"), pattern)).otherwise(pattern)
+    return F.when(F.contains(flags, F.lit("g")), F.regexp_replace(text, pattern, other)).otherwise(_regexp_replace(text, pattern, other))
+
+
+#: strftime's specifiers, as Java's patterns.
+_MOMENTS = {
+    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%p": "a", "%j": "DDD",
+    "%a": "E", "%A": "EEEE", "%b": "MMM", "%h": "MMM", "%B": "MMMM", "%f": "SSSSSSSSS", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%D": "MM/dd/yy", "%R": "HH:mm",
+}
+
+
+def _to_char(moment: Column, form: Column) -> Column:
+    """By strftime's specifiers; others stay as they are."""
+
+    def token(t: Column) -> Column:
+        out = F.when(t == "%%", F.lit("%")).when(t == "%e", F.lpad(F.date_format(moment, "d"), 2, " "))
+        for name, pattern in _MOMENTS.items():
+            out = out.when(t == name, F.date_format(moment, pattern))
+        return out.otherwise(t)
+
+    written = F.concat_ws("", F.transform(F.regexp_extract_all(form, F.lit("(?s)%.|[^%]+|%"), F.lit(0)), token))
+    return F.when(moment.isNotNull() & form.isNotNull(), written)
+
+
+def _whole_array(x: Column) -> Column:
+    """All values, nulls too; without rows null."""
+    held = F.collect_list(F.struct(x.alias("x")))
+    return F.when(F.size(held) > 0, F.transform(held, lambda s: s["x"]))
+
+
+def _nth_value(x: Column, n: Column) -> Column:
+    return F.get(F.collect_list(F.struct(x.alias("x"))), n.cast("int") - 1)["x"]
+
+
+def _each_once(x: Column) -> Column:
+    """Distinct values without null, in order, as an array."""
+    return F.array_sort(F.collect_set(x))
+
+
+def _moments(values: Column) -> tuple[Column, Column]:
+    """Number of an array's values, and the sum of their squared distances from the mean."""
+    n, numbers = F.size(values), F.transform(values, lambda v: v.cast("double"))
+    mean = F.aggregate(numbers, F.lit(0.0), lambda a, v: a + v) / F.nullif(n, F.lit(0))
+    return n, F.aggregate(numbers, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+
+
+def _distinct_variance(x: Column, sample: bool, root: bool) -> Column:
+    n, squares = _moments(_each_once(x))
+    out = squares / F.nullif(n - 1 if sample else n, F.lit(0))
+    return F.sqrt(out) if root else out
+
+
+def _distinct_median(x: Column) -> Column:
+    values = F.transform(_each_once(x), lambda v: v.cast("double"))
+    n = F.size(values)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return F.when(n > 0, (F.get(values, low) + F.get(values, high)) / 2)
+
+
+def _distinct_string_agg(x: Column, separator: Column | None = None) -> Column:
+    values = _each_once(x.cast("string"))
+    joined = F.aggregate(values, F.lit(None).cast("string"), lambda a, v: F.when(a.isNull(), v).otherwise(F.concat(a, F.lit("") if separator is None else separator, v)))
+    return F.when(F.size(values) > 0, joined)
+
+
+def _digest(x: Column, method: Column) -> Column:
+    kind = F.lower(method)
+    out = F.when(kind == "md5", F.unhex(F.md5(x)))
+    for bits in (224, 256, 384, 512):
+        out = out.when(kind == f"sha{bits}", F.unhex(F.sha2(x, bits)))
+    return out
+
+
+def _encode(x: Column, form: Column) -> Column:
+    return F.when(F.lower(form) == "hex", F.lower(F.hex(x))).when(F.lower(form) == "base64", F.rtrim(F.base64(x.cast("binary")), F.lit("=")))
+
+
+def _decode(x: Column, form: Column) -> Column:
+    return F.when(F.lower(form) == "hex", F.unhex(x)).when(F.lower(form) == "base64", F.unbase64(x))
+
+
+def _named_struct(*args: Column) -> Column:
+    return F.call_function("named_struct", *args)
 
 
 def _gcd(a: Column, b: Column) -> Column:
@@ -94,13 +188,13 @@ SCALARS: dict[str, Builder] = (
         *"abs ceil floor round sqrt cbrt exp power pow sign signum pi radians degrees factorial isnan nanvl".split(),
         *"sin cos tan asin acos atan atan2 sinh cosh tanh asinh acosh atanh cot random rand".split(),
         *"ascii bit_length btrim char_length character_length length chr concat_ws contains initcap left lower lpad ltrim md5 octet_length".split(),
-        *"overlay position repeat replace reverse right rpad rtrim substring_index translate trim upper uuid levenshtein".split(),
+        *"overlay find_in_set regexp_instr repeat replace reverse right rpad rtrim substring_index translate trim upper uuid levenshtein".split(),
         *"regexp_like regexp_count to_date make_date from_unixtime now current_date current_timestamp to_timestamp".split(),
-        *"coalesce nullif nvl ifnull nvl2 greatest least array_length".split(),
+        *"coalesce nullif nvl ifnull nvl2 greatest least".split(),
+        array_length="array_size",
         ceiling="ceil",
         starts_with="startswith",
         ends_with="endswith",
-        to_char="date_format",
         today="current_date",
     )
     | {
@@ -117,6 +211,20 @@ SCALARS: dict[str, Builder] = (
         "split_part": _split_part,
         "strpos": lambda text, part: F.call_function("instr", text, part),
         "instr": lambda text, part: F.call_function("instr", text, part),
+        "position": lambda text, part: F.call_function("instr", text, part),
+        "substr_index": lambda text, delimiter, n: F.call_function("substring_index", text, delimiter, n.cast("int")),
+        "to_char": _to_char,
+        "date_format": _to_char,
+        "iszero": lambda x: x == 0,
+        "encode": _encode,
+        "decode": _decode,
+        "digest": _digest,
+        "named_struct": _named_struct,
+        "to_timestamp_seconds": lambda x: F.timestamp_seconds(x).cast("timestamp_ntz"),
+        "to_timestamp_millis": lambda x: F.timestamp_millis(x.cast("bigint")).cast("timestamp_ntz"),
+        "to_timestamp_micros": lambda x: F.timestamp_micros(x.cast("bigint")).cast("timestamp_ntz"),
+        "to_unixtime": lambda x: F.unix_seconds(x.cast("timestamp")),
+        "to_local_time": lambda x: x.cast("timestamp_ntz"),
         "to_hex": lambda x: F.lower(F.hex(x)),
         "sha224": lambda x: F.sha2(x, 224),
         "sha256": lambda x: F.sha2(x, 256),
@@ -138,16 +246,29 @@ AGGREGATES: dict[str, Builder] = _spark(
     *"regr_avgx regr_avgy regr_count regr_intercept regr_r2 regr_slope regr_sxx regr_sxy regr_syy".split(),
     *"bool_and bool_or bit_and bit_or bit_xor first_value last_value grouping approx_percentile".split(),
     var="var_samp",
-    array_agg="collect_list",
     approx_distinct="approx_count_distinct",
     approx_percentile_cont="percentile_approx",
     every="bool_and",
 ) | {
+    "array_agg": _whole_array,
+    "nth_value": _nth_value,
     "approx_median": lambda x: F.percentile_approx(x, 0.5),
     "string_agg": lambda x, separator=None: F.call_function("listagg", x, *([] if separator is None else [separator])),
 }
 
 
+#: Aggregates whose distinct values are gathered, a group's at a time; an array of nulls' own value is not among them.
+_DISTINCT: dict[str, Builder] = {
+    "array_agg": lambda x: F.transform(F.collect_set(F.struct(x.alias("x"))), lambda s: s["x"]),
+    "median": _distinct_median,
+    "string_agg": _distinct_string_agg,
+    **{n: (lambda x: _distinct_variance(x, True, True)) for n in ("stddev", "stddev_samp")},
+    **{n: (lambda x: _distinct_variance(x, True, False)) for n in ("var", "var_samp", "variance")},
+    "stddev_pop": lambda x: _distinct_variance(x, False, True),
+    "var_pop": lambda x: _distinct_variance(x, False, False),
+}
+
+
 def is_aggregate(name: str) -> bool:
     return name.lower() in AGGREGATES and name not in SCALARS
 
@@ -171,8 +292,8 @@ def aggregate(name: str, args: list[Column], distinct: bool = False) -> Column:
         if name == "sum":
             return F.sum_distinct(*args)
         return F.sum_distinct(*args) / F.count_distinct(*args)
-    if distinct and name == "array_agg":
-        return F.collect_set(*args)
+    if distinct and name in _DISTINCT:
+        return _built(name, _DISTINCT[name], args)
     if distinct and name not in ("min", "max", "bool_and", "bool_or", "every", "bit_and", "bit_or", "approx_distinct"):
         raise PlanError(f"aggregate {name!r} does not take DISTINCT")
     return _built(name, AGGREGATES[name], args)

@@ -53,6 +53,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _quotient(left: Column, right: Column) -> Column:
+    """By zero it is infinite, or NaN, as in IEEE arithmetic; Spark's own raises."""
+    infinite = F.when((left == 0) | F.isnan(left.cast("double")), F.lit(float("nan"))).otherwise(F.signum(left) * float("inf"))
+    return F.when(right == 0, F.when(left.isNotNull(), infinite)).otherwise(left / F.nullif(right, F.lit(0)))
+
+
 class Compiler:
     """Compiles expressions over one DataFrame, which is asked for types where an operator depends on them.
 
@@ -123,7 +129,7 @@ class Compiler:
 
     def binary(self, op: str, left: Column, right: Column) -> Column:
         if op == "/":
-            return F.call_function("div", left, right) if self._whole(left) and self._whole(right) else left / right
+            return F.call_function("div", left, right) if self._whole(left) and self._whole(right) else _quotient(left, right)
         if op not in _OPERATORS:
             raise PlanError(f"unsupported binary operator {op!r}")
         return _OPERATORS[op](left, right)

@@ -448,3 +448,11 @@ class Plan:
                     need(step.input, "a relation")
         if not any(isinstance(s, Return) for s in self.steps):
             raise PlanError("the plan has no return step")
+
+
+def columns_of(node) -> list[str]:
+    """Names of all columns in an expression, whatever it is made of."""
+    if isinstance(node, Column):
+        return [node.name]
+    parts = node if isinstance(node, tuple | list) else [getattr(node, f.name) for f in dataclasses.fields(node)] if dataclasses.is_dataclass(node) else []
+    return [name for part in parts for name in columns_of(part)]

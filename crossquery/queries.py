@@ -6,25 +6,34 @@ scale at which they are exact, so that the order of additions cannot show.
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans.builder import PlanBuilder, Relation, agg, asc, case, col, desc, fn, lit, within
 from .session import Session
+from .sources.reduction import Strategy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str):
-    """Registers a function that builds a plan, under its name."""
+def query(sql: str, *sources: Callable[[Session, str], None], strategy: Strategy | None = None):
+    """Registers a function that builds a plan, under its name; ``sources`` register more than the folder."""
 
     def register(build: Callable[[PlanBuilder], Relation]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            session = Session(spark)
+            # nothing is held: the result is lazy, and a session that is never closed would leak what it persists
+            session = Session(spark, persist_shared=False)
             session.register("t", "parquet", dir=sf_dir)
-            return session.run(build(PlanBuilder()).returned())
+            for second in sources:
+                second(session, sf_dir)
+            return session.run(build(PlanBuilder()).returned(), strategy)
 
         QUERIES[build.__name__], ORACLE_SQL[build.__name__] = run, sql
         return build
@@ -298,6 +307,84 @@ def ship_dimension(b):
     return b.scan_sql("t", "SELECT n_name, count(*) AS n FROM customer JOIN dim ON c_nationkey = n_nationkey GROUP BY n_name")
 
 
+# ---- a second source: a DuckDB file, or a database over JDBC, that holds some of the tables
+
+
+@functools.cache
+def _duckdb_file(sf_dir: str) -> str:
+    import duckdb
+
+    path = f"{tempfile.mkdtemp(prefix='crossquery-duckdb-')}/tables.duckdb"
+    with duckdb.connect(path) as db:
+        for table in ("lineitem", "customer"):
+            folder = f"{sf_dir.removeprefix('file://')}/{table}.parquet"
+            db.execute(f"CREATE TABLE {table} AS SELECT * FROM read_parquet('{folder}{'/*.parquet' if os.path.isdir(folder) else ''}')")
+    return path
+
+
+def on_duckdb(session: Session, sf_dir: str) -> None:
+    folder = session.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='crossquery-staged-')}"
+    session.register("d", "duckdb", path=_duckdb_file(sf_dir), staging=folder, rows_per_task="20000")
+
+
+@functools.cache
+def _derby(sf_dir: str) -> str:
+    return f"jdbc:derby:memory:crossquery{zlib.crc32(sf_dir.encode())};create=true"
+
+
+def on_derby(session: Session, sf_dir: str) -> None:
+    """Derby comes with Spark, so there is a database over JDBC without a network."""
+    spark, driver = session.spark, "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    options = {"url": _derby(sf_dir), "driver": driver}
+    if spark.read.format("jdbc").options(**options, query="SELECT count(*) AS n FROM SYS.SYSTABLES WHERE TABLENAME = 'SUPPLIER'").load().first()[0] == 0:
+        keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(*[F.col(c).alias(c.upper()) for c in ("s_suppkey", "s_nationkey", "s_acctbal")])
+        keys.write.format("jdbc").options(**options, dbtable="SUPPLIER").save()
+    session.register("j", "jdbc", url=options["url"], driver=driver, split_column="S_SUPPKEY", partitions="2")
+
+
+def _remote_revenue(b, build_filter):
+    build = b.scan("t", "orders", ["o_orderkey", "o_orderpriority"], build_filter)
+    probe = b.scan_reduced("d", "lineitem", ["l_orderkey", "l_extendedprice", "l_discount"], "l_orderkey", build.keys("o_orderkey"))
+    return _measured(build.join(probe, ["o_orderkey"], ["l_orderkey"], {"p": col("o_orderpriority"), "amount": col("l_extendedprice") * (lit(1.0) - col("l_discount"))}))
+
+
+@query(_REVENUE.format("o_orderkey < 300"), on_duckdb)
+def reduce_in_list_duckdb(b):
+    return _remote_revenue(b, col("o_orderkey") < 300)
+
+
+@query(_REVENUE.format("o_totalprice > 100000"), on_duckdb, strategy=Strategy.STAGED_KEYS)
+def reduce_staged_duckdb(b):
+    return _remote_revenue(b, col("o_totalprice") > 100000.0)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_linenumber < 4", on_duckdb)
+def scan_duckdb(b):
+    return b.scan("d", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], (col("l_quantity") >= 49.0) & (col("l_returnflag") == "R") & (col("l_linenumber") < 4))
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY n_name", on_duckdb)
+def ship_duckdb(b):
+    _nations(b, col("n_regionkey") == 2).ship("d", "dim")
+    return b.scan_sql("d", "SELECT n_name, count(*) AS n FROM customer JOIN dim ON c_nationkey = n_nationkey GROUP BY n_name")
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY c_mktsegment", on_duckdb)
+def prerendered_duckdb(b):
+    keys = _nations(b, col("n_regionkey") == 1).keys("n_nationkey")
+    sql = "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT k FROM dynamic_keys) GROUP BY c_mktsegment"
+    return b.scan_reduced("d", "customer", ["c_mktsegment", "n"], "c_nationkey", keys, injected_sql=sql)
+
+
+@query("SELECT n_name, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY n_name", on_derby, strategy=Strategy.STAGED_KEYS)
+def reduce_staged_jdbc(b):
+    build = _nations(b, col("n_regionkey") < 3)
+    probe = b.scan_reduced("j", "SUPPLIER", ["s_nationkey", "s_acctbal"], "s_nationkey", build.keys("n_nationkey"))
+    out = build.join(probe, ["n_nationkey"], ["s_nationkey"], {"n_name": col("n_name"), "s": col("s_acctbal")}).aggregate({"n_name": "n_name", "n": agg("count"), "total": agg("sum", col("s"))}, ["n_name"])
+    return out.select({"n_name": col("n_name"), "n": col("n"), "total": fn("round", col("total"), 2)})
+
+
 # ---- aggregation
 
 
@@ -497,6 +584,81 @@ def fn_conditional(b):
     return b.scan("t", "orders", ORDER).select({"o_orderkey": k, "c": fn("coalesce", fn("nullif", s, "F"), "x"), "g": fn("greatest", k, c), "l": fn("least", k, c), "i": fn("nvl", fn("nullif", s, "O"), "y")})
 
 
+@query(
+    "SELECT s_suppkey, round(sin(s_suppkey), 9) AS a, round(cos(s_suppkey), 9) AS b, round(tan(s_suppkey), 6) AS c, round(asin(1.0 / s_suppkey), 9) AS d, round(acos(1.0 / s_suppkey), 9) AS e, round(atan(s_suppkey), 9) AS f, round(atan2(s_suppkey, 3), 9) AS g, "
+    "round(sinh(s_suppkey / 1000.0), 9) AS h, round(cosh(s_suppkey / 1000.0), 9) AS i, round(tanh(s_suppkey / 1000.0), 9) AS j, round(asinh(s_suppkey), 9) AS k, round(acosh(s_suppkey), 9) AS l, round(atanh(0.5 / s_suppkey), 9) AS m, round(cot(s_suppkey), 6) AS n, "
+    "round(degrees(s_suppkey), 9) AS o, round(cbrt(s_suppkey), 9) AS p, round(exp(s_suppkey / 1000.0), 9) AS q, round(log2(s_suppkey), 9) AS r, s_suppkey = 0 AS z FROM (SELECT s_suppkey + 1 AS s_suppkey FROM supplier)"
+)
+def fn_trigonometry(b):
+    k = col("s_suppkey") + 1
+    x = k.cast("float64")
+    calls = {
+        "a": fn("sin", x), "b": fn("cos", x), "d": fn("asin", lit(1.0) / x), "e": fn("acos", lit(1.0) / x), "f": fn("atan", x), "g": fn("atan2", x, 3.0), "h": fn("sinh", x / 1000.0), "i": fn("cosh", x / 1000.0), "j": fn("tanh", x / 1000.0),
+        "k": fn("asinh", x), "l": fn("acosh", x), "m": fn("atanh", lit(0.5) / x), "o": fn("degrees", x), "p": fn("cbrt", x), "q": fn("exp", x / 1000.0), "r": fn("log2", x),
+    }
+    rounded = {n: fn("round", e, 9) for n, e in calls.items()} | {n: fn("round", fn(f, x), 6) for n, f in (("c", "tan"), ("n", "cot"))}
+    return b.scan("t", "supplier", ["s_suppkey"]).select({"s_suppkey": k, **rounded, "z": fn("iszero", k)})
+
+
+@query(
+    "SELECT p_partkey, strpos(p_brand, 'an') AS pos, cast(list_position(['x', p_brand, 'y'], p_brand) AS BIGINT) AS fis, split_part(p_brand, '#', 1) AS si, ascii(p_brand) AS asc, chr(66) AS ch, rpad(p_brand, 12, '-') AS rp, ltrim('  a ') AS lt, rtrim(' a  ') AS rt, "
+    "trim('xxaxx', 'x') AS bt, levenshtein(p_brand, 'Brand#11') AS lev, ends_with(p_brand, '1') AS ew, concat_ws('/', p_brand, NULL, 'z') AS cw, contains(p_brand, '#2') AS ct, right(p_brand, 2) AS ri, bit_length(p_brand) AS bl, strlen(p_brand) AS ol FROM part"
+)
+def fn_string_rest(b):
+    x, whole = col("p_brand"), lambda e: e.cast("int64")
+    n = lambda v: lit(v).cast("int32")
+    return b.scan("t", "part", ["p_partkey", "p_brand"]).select(
+        {
+            "p_partkey": col("p_partkey"), "pos": whole(fn("position", x, "an")), "fis": whole(fn("find_in_set", x, fn("concat", "x,", x, ",y"))), "si": fn("substr_index", x, "#", 1), "asc": fn("ascii", x), "ch": fn("chr", 66), "rp": fn("rpad", x, n(12), "-"),
+            "lt": fn("ltrim", "  a "), "rt": fn("rtrim", " a  "), "bt": fn("btrim", "xxaxx", "x"), "lev": whole(fn("levenshtein", x, "Brand#11")), "ew": fn("ends_with", x, "1"), "cw": fn("concat_ws", "/", x, None, "z"), "ct": fn("contains", x, "#2"),
+            "ri": fn("right", x, n(2)), "bl": whole(fn("bit_length", x)), "ol": whole(fn("octet_length", x)),
+        }
+    )
+
+
+@query("SELECT c_custkey, lower(hex(encode(c_name))) AS hx, rtrim(to_base64(encode(c_name)), '=') AS b64, c_name AS back, lower(hex(unhex(sha256(c_name)))) AS dig, c_name AS field FROM customer")
+def fn_encodings(b):
+    x = col("c_name")
+    hexed = fn("encode", x, "hex")
+    return b.scan("t", "customer", ["c_custkey", "c_name"]).select(
+        {"c_custkey": col("c_custkey"), "hx": hexed, "b64": fn("encode", x, "base64"), "back": fn("decode", hexed, "hex").cast("utf8"), "dig": fn("to_hex", fn("digest", x, "sha256")), "field": fn("coalesce", x, fn("encode", x, "hex"))}
+    )
+
+
+@query(
+    "SELECT event_id, strftime(ts, '%Y/%m/%d %H-%M %b %%') AS tc, strftime(ts, '%j %a') AS df, make_timestamp(event_id * 1000000) AS s, make_timestamp(event_id * 1000) AS ms, make_timestamp(event_id) AS us, cast(floor(epoch(ts)) AS BIGINT) AS ux FROM events"
+)
+def fn_date_formats(b):
+    ts, k = col("ts"), col("event_id")
+    return b.scan("t", "events", ["event_id", "ts"]).select(
+        {"event_id": k, "tc": fn("to_char", ts, "%Y/%m/%d %H-%M %b %%"), "df": fn("date_format", ts, "%j %a"), "s": fn("to_timestamp_seconds", k), "ms": fn("to_timestamp_millis", k), "us": fn("to_timestamp_micros", k), "ux": fn("to_unixtime", fn("to_local_time", ts))}
+    )
+
+
+@query(
+    "SELECT o_orderstatus AS s, median(DISTINCT o_custkey) AS md, round(stddev_samp(DISTINCT o_custkey), 6) AS sd, round(stddev_pop(DISTINCT o_custkey), 6) AS sp, round(var_samp(DISTINCT o_custkey), 3) AS vs, round(var_pop(DISTINCT o_custkey), 3) AS vp, "
+    "string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS sa, cast(len(array_agg(nullif(o_orderpriority, '5-LOW'))) AS BIGINT) AS aa, bit_and(o_orderkey) AS ba, bit_or(o_orderkey) AS bo FROM orders GROUP BY 1"
+)
+def agg_distinct_rest(b):
+    k = col("o_custkey")
+    once = lambda name, *x: agg(name, *x, distinct=True)
+    r = lambda e, n: fn("round", e, n)
+    out = b.scan("t", "orders", ORDER).aggregate(
+        {
+            "s": "o_orderstatus", "md": once("median", k), "sd": once("stddev_samp", k), "sp": once("stddev_pop", k), "vs": once("var_samp", k), "vp": once("var_pop", k), "sa": once("string_agg", col("o_orderpriority"), "|"),
+            "aa": agg("array_agg", fn("nullif", col("o_orderpriority"), "5-LOW")), "ba": agg("bit_and", col("o_orderkey")), "bo": agg("bit_or", col("o_orderkey")),
+        },
+        ["o_orderstatus"],
+    )
+    return out.select({n: col(n) for n in ("s", "md", "sa", "ba", "bo")} | {"sd": r(col("sd"), 6), "sp": r(col("sp"), 6), "vs": r(col("vs"), 3), "vp": r(col("vp"), 3), "aa": fn("array_length", col("aa")).cast("int64")})
+
+
+@query("SELECT p_partkey, regexp_replace(p_brand, '\\B[a-z]', '_') AS inner_once, regexp_replace(p_brand, '([a-z])([a-z])', '\\2\\1') AS swapped, regexp_replace(p_brand, '^', '>') AS lead FROM part")
+def fn_regex_context(b):
+    x = col("p_brand")
+    return b.scan("t", "part", ["p_partkey", "p_brand"]).select({"p_partkey": col("p_partkey"), "inner_once": fn("regexp_replace", x, "\\B[a-z]", "_"), "swapped": fn("regexp_replace", x, "([a-z])([a-z])", "$2$1"), "lead": fn("regexp_replace", x, "^", ">")})
+
+
 @query("SELECT p_partkey, regexp_matches(p_brand, '[1-3]$') AS m, regexp_replace(p_brand, '[a-z]', '_') AS once, regexp_replace(p_brand, '[a-z]', '_', 'g') AS every FROM part")
 def fn_regex(b):
     x = col("p_brand")

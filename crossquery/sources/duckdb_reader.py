@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import operator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+
+#: Rows of a batch that goes to Spark.
+BATCH = 10_000
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 class DuckDbReader(DataSource):
-    """Options: path, query, staged (JSON object: temporary table -> Parquet folder)."""
+    """Options: path, query, staged (JSON object: view -> Parquet folder), and for whole tables ``table`` and ``rows`` of a task."""
 
     @classmethod
     def name(cls) -> str:
         return "crossquery_duckdb"
 
-    def _connect(self):
-        return connect(self.options)
-
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        with self._connect() as db:
+        with connect(self.options) as db:
             return from_arrow_schema(db.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 0").to_arrow_table().schema)
 
     def reader(self, schema) -> Reader:
@@ -28,42 +31,74 @@ class DuckDbReader(DataSource):
 
 
 def connect(options):
+    """Staged relations are views over their files: nothing is copied."""
     import duckdb
 
     db = duckdb.connect(options["path"], read_only=True)
     for table, folder in json.loads(options.get("staged", "{}")).items():
         name, place = table.replace('"', '""'), folder.removeprefix("file://").removeprefix("file:").replace("'", "''")
-        db.execute(f"CREATE TEMP TABLE \"{name}\" AS SELECT * FROM read_parquet('{place}/*.parquet')")
+        db.execute(f"CREATE TEMP VIEW \"{name}\" AS SELECT * FROM read_parquet('{place}/*.parquet')")
     return db
 
 
 def _sql(value) -> str | None:
     if isinstance(value, bool):
         return str(value).lower()
+    if isinstance(value, float) and (value != value or value in (float("inf"), float("-inf"))):
+        return None
     if isinstance(value, int | float):
         return repr(value)
+    if isinstance(value, datetime.datetime):
+        return None  # a time zone would have to be agreed on
+    if isinstance(value, datetime.date):
+        return f"DATE '{value.isoformat()}'"
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else None
 
 
+class Rows(InputPartition):
+    """Row numbers from ``low`` to before ``high``, or all."""
+
+    def __init__(self, low: int | None = None, high: int | None = None):
+        self.low, self.high = low, high
+
+
 class Reader(DataSourceReader):
-    """Equality and IN filters are applied at the source; Spark applies all filters again."""
+    """Comparisons, IN lists and null tests are applied at the source; Spark applies all filters again."""
 
     def __init__(self, options: dict):
         self.options, self.conditions = options, []
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, In | EqualTo) and len(f.attribute) == 1:
-                values = [_sql(v) for v in (f.value if isinstance(f, In) else [f.value])]
-                if values and None not in values:
-                    name = f.attribute[0].replace('"', '""')
-                    self.conditions.append(f'"{name}" IN ({", ".join(values)})')
+            if len(f.attribute) == 1:
+                name = '"' + f.attribute[0].replace('"', '""') + '"'
+                if isinstance(f, IsNull | IsNotNull):
+                    self.conditions.append(f"{name} IS {'' if isinstance(f, IsNull) else 'NOT '}NULL")
+                elif isinstance(f, In):
+                    values = [_sql(v) for v in f.value]
+                    if values and None not in values:
+                        self.conditions.append(f"{name} IN ({', '.join(values)})")
+                elif type(f) in _COMPARED and (value := _sql(f.value)) is not None:
+                    self.conditions.append(f"{name} {_COMPARED[type(f)]} {value}")
             yield f
 
     def partitions(self):
-        return [InputPartition(0)]
+        if not (table := self.options.get("table")):
+            return [Rows()]
+        import duckdb
+
+        step = int(self.options["rows"])
+        try:
+            with connect(self.options) as db:
+                last = db.execute(f"SELECT max(rowid) FROM {table}").fetchone()[0]
+        except duckdb.BinderException:  # a view has no row numbers
+            return [Rows()]
+        return [Rows(low, low + step) for low in range(0, operator.index(last or 0) + 1, step)]
 
     def read(self, partition):
+        query = self.options["query"]
+        if partition.low is not None:
+            query += f" WHERE rowid >= {partition.low} AND rowid < {partition.high}"
         where = " WHERE " + " AND ".join(self.conditions) if self.conditions else ""
         with connect(self.options) as db:
-            yield from db.execute(f"SELECT * FROM ({self.options['query']}){where}").to_arrow_table().to_batches(max_chunksize=10_000)
+            yield from db.execute(f"SELECT * FROM ({query}){where}").to_arrow_reader(BATCH)

@@ -7,8 +7,10 @@ into the scan and no key list has to travel.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 from collections.abc import Callable
 from urllib.parse import unquote, urlsplit
 
@@ -33,7 +35,8 @@ class Source:
             raise SourceError(f"a {self.kind} source needs {name!r}")
         return self.params[name]
 
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
+    def table(self, name: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The table, or at least these of its columns; Spark prunes what it can by itself."""
         raise NotImplementedError
 
     def query(self, sql: str, staged: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -50,6 +53,18 @@ class Source:
         """Share of the table that so many keys keep, by the source's catalogue; None if it does not say."""
         return None
 
+    def close(self) -> None:
+        """Drops what was staged."""
+
+    def declared(self, frame: DataFrame) -> DataFrame:
+        """Columns with a type in the parameter ``types`` (JSON: column -> Spark type) in that type. Databases
+        report decimals without a declared precision as the widest; two sources' columns then compare and add up alike."""
+        types = {k.lower(): v for k, v in json.loads(self.params.get("types", "{}")).items()}
+        if not types:
+            return frame
+        column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        return frame.select(*[column(c).cast(types[c.lower()]).alias(c) if c.lower() in types else column(c) for c in frame.columns])
+
 
 class ParquetSource(Source):
     """Every ``<dir>/<table>.parquet``, a file or a folder, is a table of schema ``main``."""
@@ -68,11 +83,11 @@ class ParquetSource(Source):
         entries = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
         return sorted(n.removesuffix(".parquet") for n in (e.getPath().getName() for e in entries) if n.endswith(".parquet"))
 
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
+    def table(self, name: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
         if schema not in (None, "main"):
             raise PlanError(f"a parquet source has only the schema 'main', not {schema!r}")
         if name not in self._frames:
-            self._frames[name] = self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet"))
+            self._frames[name] = self.declared(self.spark.read.parquet(os.path.join(self.dir, f"{name}.parquet")))
         return self._frames[name]
 
     def query(self, sql: str, staged: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -96,11 +111,20 @@ class DuckDbSource(Source):
         spark.dataSource.register(DuckDbReader)
 
     def _read(self, **options: str) -> DataFrame:
-        return self.spark.read.format("crossquery_duckdb").options(path=self.path, **options).load()
+        return self.declared(self.spark.read.format("crossquery_duckdb").options(path=self.path, **options).load())
 
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
-        parts = [p for p in (schema, name) if p]
-        return self._read(query="SELECT * FROM " + ".".join('"' + p.replace('"', '""') + '"' for p in parts))
+    def table(self, name: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
+        """Read in ranges of row numbers, ``rows_per_task`` (a parameter) at a time."""
+        place = JdbcSource.quoted(schema, name)
+        wanted = "*"
+        if columns is not None:
+            from .duckdb_reader import connect
+
+            with connect({"path": self.path}) as db:
+                known = {c[0].lower(): c[0] for c in db.execute(f"SELECT * FROM {place} LIMIT 0").description}
+            found = [known[c.lower()] for c in columns if c.lower() in known]
+            wanted = ", ".join(JdbcSource.quoted(c) for c in dict.fromkeys(found)) or "*"
+        return self._read(query=f"SELECT {wanted} FROM {place}", table=place, rows=str(self.params.get("rows_per_task", 2_000_000)))
 
     def staging(self) -> str | None:
         """A folder that the driver and the executors share."""
@@ -118,15 +142,14 @@ class DuckDbSource(Source):
 
     def query(self, sql: str, staged: dict[str, DataFrame] | None = None) -> DataFrame:
         """``staged`` relations are written for the reader's connections, as temporary tables there."""
-        import json
-        import uuid
-
         from pyspark.errors import PySparkException
 
         places = {}
         for name, frame in (staged or {}).items():
             if not (folder := self.staging()):
                 raise SourceError("shipping to a duckdb source needs 'staging' or a checkpoint folder that executors share")
+            if ":" in folder and not folder.startswith("file:"):
+                raise SourceError(f"a duckdb source reads staged relations from a mounted folder, not from {folder!r}")
             places[name] = f"{folder}/staged-{uuid.uuid4().hex}"
             try:
                 frame.write.parquet(places[name])
@@ -136,14 +159,21 @@ class DuckDbSource(Source):
 
 
 class JdbcSource(Source):
-    """Any database with a JDBC driver: ``url`` and, where needed, ``driver``, ``user``, ``password``, ``schema_types``."""
+    """Any database with a JDBC driver: ``url`` and, where needed, ``driver``, ``user``, ``password``, ``schema_types``.
 
-    kind = "jdbc"
+    Keys and relations are staged as tables of their own there (Spark's connections share no temporary tables), which ``close`` drops.
+    """
+
+    kind, ships = "jdbc", True
 
     def __init__(self, spark: SparkSession, **params: str):
         super().__init__(spark, **params)
         self.url = self.need("url")
 
+    @property
+    def _staged(self) -> list[str]:
+        return self.__dict__.setdefault("_staged_tables", [])
+
     def _options(self) -> dict[str, str]:
         named = {"driver": "driver", "user": "user", "password": "password", "schema_types": "customSchema", "fetch_size": "fetchsize"}
         return {"url": self.url} | {option: self.params[p] for p, option in named.items() if p in self.params}
@@ -152,13 +182,55 @@ class JdbcSource(Source):
     def quoted(*parts: str | None) -> str:
         return ".".join('"' + p.replace('"', '""') + '"' for p in parts if p)
 
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
-        return self.spark.read.format("jdbc").options(**self._options(), dbtable=self.quoted(schema, name)).load()
+    def _load(self, **options: str) -> DataFrame:
+        return self.declared(self.spark.read.format("jdbc").options(**self._options(), **options).load())
+
+    def table(self, name: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
+        return self._load(dbtable=self.quoted(schema, name))
+
+    def stage(self, frame: DataFrame) -> str:
+        """Writes a relation to a new table and gives its quoted name. Text is VARCHAR, so that it can be compared and indexed."""
+        name = f"CROSSQUERY_{uuid.uuid4().hex.upper()}"
+        texts = ", ".join(f"{self.quoted(f.name)} VARCHAR(4000)" for f in frame.schema.fields if f.dataType.simpleString() == "string")
+        options = {k: v for k, v in self._options().items() if k != "customSchema"} | ({"createTableColumnTypes": texts.replace('"', "`")} if texts else {})
+        self._staged.append(name)
+        frame.write.format("jdbc").options(**options, dbtable=self.quoted(name)).save()
+        return self.quoted(name)
+
+    def close(self) -> None:
+        if not self._staged:
+            return
+        jvm = self.spark._jvm
+        known = jvm.java.util.Properties()
+        for name in ("user", "password"):
+            if name in self.params:
+                known.setProperty(name, self.params[name])
+        db = jvm.java.sql.DriverManager.getConnection(self.url, known)
+        try:
+            while self._staged:
+                db.createStatement().execute(f"DROP TABLE {self.quoted(self._staged.pop())}")
+        finally:
+            db.close()
+
+    def matching(self, name: str, schema: str | None, column: str, keys: DataFrame, view: str) -> DataFrame:
+        """The database joins: ``partitions`` (a parameter, 1) reads of it where there is a ``split_column``."""
+        staged = self.stage(keys)
+        rows = f"SELECT * FROM {self.quoted(schema, name)} WHERE {self.quoted(self.named(name, schema, column))} IN (SELECT {self.quoted('k')} FROM {staged})"
+        parts = int(self.params.get("partitions", "1"))
+        if parts > 1 and "split_column" in self.params:
+            properties = {k: v for k, v in self._options().items() if k != "url"}
+            return self.declared(self.spark.read.jdbc(self.url, f"({rows}) crossquery_rows", predicates=JdbcSource.predicates(self, name, schema, parts), properties=properties))
+        return self.query(rows)
+
+    def named(self, name: str, schema: str | None, column: str) -> str:
+        """The column as the database writes it: plans name columns in any case."""
+        return next((c for c in self.table(name, schema).columns if c.lower() == column.lower()), column)
 
     def query(self, sql: str, staged: dict[str, DataFrame] | None = None) -> DataFrame:
-        if staged:
-            raise PlanError(f"relations cannot be shipped to a {self.kind} source")
-        return self.spark.read.format("jdbc").options(**self._options(), query=sql).load()
+        """``staged`` relations are written to the database; the query finds them under their names."""
+        for name, frame in (staged or {}).items():
+            sql = re.sub(rf'"{re.escape(name)}"|\b{re.escape(name)}\b', self.stage(frame), sql)
+        return self._load(query=sql)
 
     def predicates(self, name: str, schema: str | None, partitions: int) -> list[str]:
         """Conditions that split the table: by remainder of the parameter ``split_column``."""
@@ -168,7 +240,7 @@ class JdbcSource(Source):
 
     def partitioned(self, name: str, schema: str | None, columns: list[str], partitions: int) -> DataFrame:
         properties = {k: v for k, v in self._options().items() if k != "url"}
-        out = self.spark.read.jdbc(self.url, self.quoted(schema, name), predicates=self.predicates(name, schema, partitions), properties=properties)
+        out = self.declared(self.spark.read.jdbc(self.url, self.quoted(schema, name), predicates=self.predicates(name, schema, partitions), properties=properties))
         return out.select(*columns) if columns else out
 
 
@@ -239,6 +311,8 @@ class SourceRegistry:
     def register(self, name: str, kind: str, **params: str) -> Source:
         if kind not in KINDS:
             raise SourceError(f"unknown source kind {kind!r}")
+        if name in self._sources:
+            self._sources[name].close()
         self._sources[name] = KINDS[kind](self.spark, **params)
         return self._sources[name]
 
@@ -250,6 +324,10 @@ class SourceRegistry:
     def query(self, name: str, sql: str) -> DataFrame:
         return self[name].query(sql)
 
+    def close(self) -> None:
+        for source in self._sources.values():
+            source.close()
+
     def read_partitioned(self, name: str, table: str, columns: list[str] | None = None, partitions: int = 8, schema: str | None = None) -> DataFrame:
         if partitions < 1:
             raise PlanError("a parallel read needs a partition")

@@ -2,6 +2,8 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from crossquery.errors import CardinalityError, PlanError, SourceError
 from crossquery.operators import relational
@@ -319,6 +321,91 @@ def test_jdbc_source(spark, session, tmp_path):
     assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, table.collect()), key=repr)
 
 
+def test_keys_and_relations_are_staged_over_jdbc(spark, session, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/s;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    try:
+        values(spark, [(k, f"v{k}", k * 1.5) for k in range(3000)], "ID long, NAME string, PRICE double").write.format("jdbc").options(url=url, dbtable="PROBE", driver=driver, createTableColumnTypes="NAME VARCHAR(99)").save()
+    except Exception as e:  # noqa: BLE001
+        pytest.skip(f"no Derby here: {e!s:.80}")
+    source = session.register("j", "jdbc", url=url, driver=driver, split_column="ID", partitions="3", types='{"price": "decimal(10,2)"}')
+    for key, name in (("o_orderkey", "ID"), ("name", "NAME")):
+        b = PlanBuilder()
+        build = b.scan("t", "orders", ["o_orderkey"], col("o_orderkey") < 2500).select({"o_orderkey": col("o_orderkey"), "name": fn("concat", "v", col("o_orderkey").cast("utf8"))})
+        plan = b.scan_reduced("j", "PROBE", ["ID", "PRICE"], name, build.keys(key)).returned()
+        rows = {s: sorted(map(tuple, session.run(plan, s).collect())) for s in (Strategy.STAGED_KEYS, Strategy.FULL_READ)}
+        assert rows[Strategy.STAGED_KEYS] == rows[Strategy.FULL_READ] and len(rows[Strategy.FULL_READ]) > 100
+        assert session.run(plan, Strategy.STAGED_KEYS).schema["PRICE"].dataType.simpleString() == "decimal(10,2)"
+    b = PlanBuilder()
+    b.scan("t", "region", ["r_regionkey"]).ship("j", "few")
+    assert session.run(b.scan_sql("j", 'SELECT NAME FROM PROBE JOIN few ON ID = "r_regionkey"').returned()).count() == 5
+    assert len(source._staged) == 5
+    session.close()
+    left = spark.read.format("jdbc").options(url=url, driver=driver, query="SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLENAME LIKE 'CROSSQUERY%'").load()
+    assert source._staged == [] and left.count() == 0
+
+
+def test_duckdb_reads_columns_and_ranges(session, duck, spark):
+    from crossquery.sources.duckdb_reader import DuckDbReader
+
+    source = session.register("d", "duckdb", path=duck, rows_per_task="1000")
+    whole = source.table("lineitem")
+    some = source.table("lineitem", None, ["L_ORDERKEY", "l_quantity", "nothing"])
+    assert some.columns == ["l_orderkey", "l_quantity"] and some.rdd.getNumPartitions() > 3
+    assert some.count() == whole.count() == session.query("t", "SELECT count(*) FROM lineitem").first()[0]
+    reader = DuckDbReader({"path": duck, "query": "SELECT * FROM lineitem"}).reader(None)
+    from pyspark.sql.datasource import GreaterThan, IsNotNull
+
+    assert [*reader.pushFilters([GreaterThan(("l_quantity",), 49.0), IsNotNull(("l_quantity",))])]
+    assert reader.conditions == ['"l_quantity" > 49.0', '"l_quantity" IS NOT NULL']
+    assert len(reader.partitions()) == 1
+    with pytest.raises(SourceError):
+        session.register("e", "duckdb", path=duck, staging="hdfs://host/x").query("SELECT 1", {"few": values(spark, [(1,)], "a long")})
+
+
+def test_lists_reach_a_parquet_scan_and_joins_are_not_repeated(session, capsys):
+    def plan(condition, how="inner"):
+        b = PlanBuilder()
+        build = b.scan("t", "orders", ["o_orderkey"], condition)
+        probe = b.scan_reduced("t", "lineitem", ["l_orderkey", "l_quantity"], "l_orderkey", build.keys("o_orderkey"))
+        session.run(build.join(probe, ["o_orderkey"], ["l_orderkey"], {"q": col("l_quantity")}, how).returned()).explain("formatted")
+        return capsys.readouterr().out
+
+    few = plan(col("o_orderkey") < 40)
+    assert "In(l_orderkey, [" in few and "LeftSemi" not in few
+    assert few.count("Join") and "Distinct" not in few
+    assert "LeftSemi" not in plan(col("o_orderkey") >= 0) or session.query("t", "SELECT count(*) FROM orders").first()[0] < 2000
+
+
+def test_division_by_zero_is_infinite(spark):
+    rows = values(spark, [(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (1.0, 4.0), (None, 0.0), (1.0, None)], "a double, b double")
+    got = [r[0] for r in rows.select(Compiler(rows).column(node(col("a") / col("b")))).collect()]
+    assert [str(x) for x in got] == ["inf", "-inf", "nan", "0.25", "None", "None"]
+
+
+def test_functions_in_context(spark):
+    from crossquery.functions import catalog
+
+    rows = values(spark, [("a b a",)], "t string")
+    call = lambda name, *args: rows.select(catalog.call(name, [F.lit(a) if not isinstance(a, Column) else a for a in args])).first()[0]
+    t = F.col("t")
+    assert call("regexp_replace", t, "(?<=b )a", "X") == "a b X" and call("regexp_replace", t, "\\Bz", "X") == "a b a"
+    assert call("regexp_replace", t, "(a) (b)", "$2\\$$1") == "b$a a" and call("regexp_replace", t, "q*", "X") == "Xa b a"
+    assert call("position", F.lit("banana"), "n") == 3 and call("strpos", F.lit("banana"), "n") == 3
+    assert call("named_struct", "a", 1)["a"] == 1 and call("to_hex", catalog.call("decode", [F.lit("ff00"), F.lit("hex")])) == "ff00"
+    nulls = values(spark, [(1,), (None,), (1,)], "x int")
+    assert sorted(nulls.select(catalog.aggregate("array_agg", [F.col("x")])).first()[0], key=str) == [1, 1, None]
+    assert nulls.select(catalog.aggregate("nth_value", [F.col("x"), F.lit(9)])).first()[0] is None
+
+
+def test_steps_are_profiled(spark, sf_dir):
+    b = PlanBuilder()
+    plan = b.scan("t", "region", ["r_regionkey"]).where(col("r_regionkey") < 3).returned()
+    with Session(spark, profile=True) as session:
+        session.register("t", "parquet", dir=sf_dir)
+        assert session.run(plan).count() == 3
+        assert [(p.tag, p.rows) for p in session.profiled[:2]] == [("source_scan", 5), ("merge", 3)]
+
+
 def test_arrow_in_and_out(spark):
     frame = spark.createDataFrame(pa.table({"a": [1, 2], "b": ["x", None]}))
     assert frame.toArrow().to_pydict() == {"a": [1, 2], "b": ["x", None]}
