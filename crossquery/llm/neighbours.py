@@ -9,15 +9,18 @@ t * d_k^2, d_k being the k-th best distance so far and t the chi-square quantile
 point nearer than d_k would have been met before with that probability.
 
 Spread over a cluster: the top of the kd-tree is cut from the projections of a bounded sample
-(``sample`` rows of smallest id hash); each cell's rows, in blocks of about ``shard_rows``, are a shard with
-its own tree below. A query first gets its d_k from the sample, so it is sent only to cells within
-reach of the stopping radius, in blocks of ``query_block``; the sample's k best count as verified. Every row is indexed. Vectors whose cells
-coincide are split by id, so equal vectors never gather.
+(``sample`` rows of smallest id hash); each cell's rows, in parts of about ``shard_rows``, are a shard with
+its own tree below. A query first gets its d_k from the sample, so it is sent only to cells within reach of the
+stopping radius; the sample's k best count as verified. Rows go to shards that have queries, and are repeated only there
+for each ``query_block`` of these. Every row is indexed. Vectors whose cells coincide are split by id, so equal vectors never gather.
+
+In a shard a query opens leaves in order of their distance, and verifies what the test leaves of one; queries that open the
+same leaf are multiplied together, and what can be among the k best is computed anew in an order that nothing else changes.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without an id, take no part,
 neither as queries nor as candidates; nor do vectors of another length than most of the sample have.
 An id that repeats names several candidates; each is another row than a query of the same id
-only if its id differs. No rows give no rows.
+only if its id differs. No rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import cut, sliced, table
 from .sets import grouped
 from .vectors import dot, matrix
 
@@ -119,27 +122,24 @@ class Model:
     def squared(self, norm: np.ndarray, score: np.ndarray) -> np.ndarray:
         return np.maximum(norm + self.largest - 2 * score, 0)
 
-    def first_distance(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Squared distance of each query's k-th best in the sample; infinite if the sample has fewer."""
-        out = np.full(len(q), np.inf)
-        for s, (me, x) in enumerate(zip(ids, q, strict=True)):
-            scores = dot(self.sample, x)[self.sample_ids != me]
-            if len(scores) >= self.k:
-                out[s] = self.squared(x @ x, np.partition(scores, -self.k)[-self.k])
-        return out * (1 + 1e-9)
+    def sample_tree(self) -> Shard:
+        if not hasattr(self, "_tree"):
+            self._tree = Shard(self, self.sample_ids, self.sample)
+        return self._tree
 
-    def first_found(self, me: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of the k best in the sample, or all if it has fewer."""
-        other = self.sample_ids != me
-        ids, scores = self.sample_ids[other], dot(self.sample, x)[other]
-        best = np.lexsort((ids, -scores))[: self.k]
-        return ids[best], scores[best]
+    def first(self, ids: np.ndarray, q: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """The k best in the sample (queries' places, ids, scores), and the squared distance of each query's k-th, infinite if there are fewer."""
+        place, found, scores = self.sample_tree().search(ids, q, np.full(len(q), np.inf))
+        out, n = np.full(len(q), np.inf), np.bincount(place, minlength=len(q))
+        full = np.flatnonzero(n >= self.k)
+        out[full] = self.squared(dot(q, q)[full], scores[np.cumsum(n)[full] - 1]) * (1 + 1e-9)
+        return (place, found, scores), out
 
 
 class Shard:
     """A kd-tree over projections of its rows, searched in order of projected distance."""
 
-    LEAF = 64
+    LEAF = 512
 
     def __init__(self, model: Model, ids: np.ndarray, x: np.ndarray):
         self.model = model
@@ -156,39 +156,66 @@ class Shard:
             stack += [own[len(own) // 2 :], own[: len(own) // 2]]
         order = np.concatenate(leaves)
         self.ids, self.x, self.p = ids[order], x[order], p[order]
+        self.squares = dot(self.p, self.p)
         self.ends = np.cumsum([0, *map(len, leaves)])
-        self.boxes = np.stack([np.minimum.reduceat(self.p, self.ends[:-1]), np.maximum.reduceat(self.p, self.ends[:-1])], 1)
-
-    def search(self, me: int, q: np.ndarray, projected: np.ndarray, bounds: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of the k nearest found, in no order; ``first``: a squared distance that k rows are known to be within."""
-        model, k = self.model, self.model.k
-        norm = q @ q
-        leaf = np.argsort(bounds, kind="stable")
-        bounds = np.append(bounds[leaf], np.inf)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        pool, distance = np.zeros(0, np.int64), np.zeros(0)
-        d_k, at, step = first, 0, 4
-        while at < len(leaf) and not bounds[at] > model.reach * d_k:
-            opened = leaf[at : at + step]
-            at, step = min(len(leaf), at + step), step * 2
-            new = np.concatenate([np.arange(self.ends[c], self.ends[c + 1]) for c in opened])
-            pool = np.concatenate([pool, new])
-            distance = np.concatenate([distance, ((self.p[new] - projected) ** 2).sum(1)])
-            ripe = (distance <= bounds[at]) & (distance <= model.reach * d_k)  # no unopened leaf holds a nearer one
-            own = pool[ripe]
-            own = own[self.ids[own] != me]
-            ids = np.concatenate([ids, self.ids[own]])
-            scores = np.concatenate([scores, dot(self.x[own], q)])
-            pool, distance = pool[~ripe], distance[~ripe]
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                d_k = min(d_k, float(model.squared(norm, scores.min())) * (1 + 1e-9))
-        return ids, scores
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: float = 0.95, sample: int = 4096, shard_rows: int = 16384, query_block: int = 4096) -> DataFrame:
+        self.boxes = np.stack([np.minimum.reduceat(self.p, self.ends[:-1]), np.maximum.reduceat(self.p, self.ends[:-1])], 1) if len(p) else np.zeros((0, 2, PROJECTED))
+
+    def search(self, me: np.ndarray, q: np.ndarray, first: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and scores of the k nearest found of each, nearest first; ``first``: squared distances that k rows are known to be within."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for low in range(0, len(q) if len(self.ids) else 0, block):
+            place, ids, scores = self._search(*(v[low : low + block] for v in (me, q, first)))
+            out.append((place + low, ids, scores))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _search(self, me, q, first):
+        model, k, n = self.model, self.model.k, len(q)
+        projected, norm, d_k = model.project(q, True), dot(q, q), first.copy()
+        bounds = box_distances(self.boxes, projected)
+        leaves = np.argsort(bounds, axis=1, kind="stable")
+        # a score below this is not among the k best, or not known to be; products of matrices round otherwise than dot()
+        slack = 1e-9 * np.sqrt(norm * model.largest)
+        least = np.where(np.isfinite(d_k), (norm + model.largest - d_k) / 2, -np.inf)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        alive = np.arange(n)
+        for step in range(leaves.shape[1]):
+            leaf = leaves[alive, step]
+            go = bounds[alive, leaf] <= model.reach * d_k[alive]
+            alive, leaf = alive[go], leaf[go]  # leaves come in order, so the test holds for all that follow
+            if not len(alive):
+                break
+            order = np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[order], prepend=-1, append=len(bounds[0])))
+            new = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own, rows = alive[order[a:b]], slice(self.ends[leaf[order[a]]], self.ends[leaf[order[a]] + 1])
+                left = (q[own] @ self.x[rows].T) >= (least - slack)[own][:, None]
+                at, row = np.nonzero(left)
+                at, row = own[at], row + rows.start
+                near = ((self.p[row] - projected[at]) ** 2).sum(1) <= model.reach * d_k[at] * (1 + 1e-9)
+                near &= self.ids[row] != me[at]
+                at, row = at[near], row[near]
+                new.append((at, self.ids[row], dot(self.x[row], q[at])))
+            best = self._best(k, best, *new)
+            counts = np.bincount(best[0], minlength=n)
+            full = np.flatnonzero(counts >= k)
+            kth = best[2][np.cumsum(counts)[full] - 1]
+            least[full] = np.maximum(least[full], kth)
+            d_k[full] = np.minimum(d_k[full], model.squared(norm[full], kth) * (1 + 1e-9))
+        return best
+
+    @staticmethod
+    def _best(k: int, *found: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query in order: of largest score, then of smallest id."""
+        at, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        begin = np.searchsorted(at, at)
+        own = np.arange(len(at)) - begin < k
+        return at[own], ids[own], scores[own]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: float = 0.95, sample: int = 4096, shard_rows: int = 16384, query_block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found. Both frames: vec_id long, embedding array."""
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
@@ -215,67 +242,68 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, confidence: floa
     cells = min(wanted, max(1, len(points) // 4))
     model = Model(dims, total[0], k, confidence, np.asarray(drawn.column("vec_id"))[at], points, cells, math.ceil(wanted / cells))
     shared = spark.sparkContext.broadcast(model)  # the sample, and at most a cell for four of its rows
-    n_queries = asked.count()
-    blocks = max(1, math.ceil(n_queries / query_block))
 
-    def rows(query: bool):
+    def vectors_of(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, (len(x) + 1) * dims, dims), pa.int32()), pa.array(x.ravel()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row, and its shard."""
+        model = shared.value
+        for batch in batches:
+            at, x = matrix(batch.column(1), dims)
+            ids = np.asarray(batch.column(0))[at]
+            if len(ids):
+                shard = cells_of(model.nodes, model.project(x)) * model.salts + ids % model.salts
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), vectors_of(x)], ["shard", "id", "vector"])
+
+    def asking(with_vectors: bool):
+        """Every query, and each shard in its reach."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
-            for batch in batches:
-                at, x = matrix(batch.column(1), model.dims)
+            for batch in sliced(batches, 500):
+                at, x = matrix(batch.column(1), dims)
                 ids = np.asarray(batch.column(0))[at]
                 if not len(ids):
                     continue
-                p = model.project(x, query)
-                if query:
-                    first = model.first_distance(ids, x)
-                    row, cell = np.nonzero(box_distances(model.boxes, p) <= model.reach * first[:, None])
-                    row, salt = row.repeat(model.salts), np.tile(np.arange(model.salts), len(row))
-                    shard = cell.repeat(model.salts) * model.salts + salt
-                    block = (mix(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)[row]
-                else:
-                    shard = cells_of(model.nodes, p) * model.salts + ids % model.salts
-                    row = np.arange(len(ids)).repeat(blocks)
-                    shard, block = shard.repeat(blocks), np.tile(np.arange(blocks), len(ids))
-                    first = np.zeros(len(ids))
-                kind = pa.list_(pa.float64())
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * model.dims, model.dims), pa.int32()), pa.array(x[row].ravel())).cast(kind)
-                columns = [pa.array(shard * blocks + block), pa.array(np.full(len(row), query)), pa.array(ids[row]), vectors, pa.array(first[row])]
-                yield pa.RecordBatch.from_arrays(columns, ["tile", "query", "id", "vector", "first"])
+                first = model.first(ids, x)[1]
+                row, cell = np.nonzero(box_distances(model.boxes, model.project(x, True)) <= model.reach * first[:, None])
+                row, salt = row.repeat(model.salts), np.tile(np.arange(model.salts), len(row))
+                shard = pa.array(cell.repeat(model.salts) * model.salts + salt)
+                if not with_vectors:
+                    yield pa.RecordBatch.from_arrays([shard], ["shard"])
+                    continue
+                for low in range(0, len(row), 4096):
+                    own = row[low : low + 4096]
+                    yield pa.RecordBatch.from_arrays([shard.slice(low, 4096), pa.array(ids[own]), vectors_of(x[own]), pa.array(first[own])], ["shard", "id", "vector", "first"])
 
         return run
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            at, x = matrix(batch.column(1), model.dims)
+        for batch in sliced(batches, 500):
+            at, x = matrix(batch.column(1), dims)
             ids = np.asarray(batch.column(0))[at]
-            near = [model.first_found(me, q) for me, q in zip(ids, x, strict=True)]
-            if near:
-                columns = [ids.repeat([len(n) for n, _ in near]), np.concatenate([n for n, _ in near]), np.concatenate([v for _, v in near])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
-
-    schema = "tile long, query boolean, id long, vector array<double>, first double"
-    dealt = base.mapInArrow(rows(False), schema).unionByName(asked.mapInArrow(rows(True), schema))
+            if len(ids):
+                place, near, scores = shared.value.first(ids, x)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[place]), pa.array(near), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    counts = cut(asked.mapInArrow(asking(False), "shard long").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks")))
+    tile = lambda block: F.xxhash64("shard", block).alias("tile")
+    held = base.mapInArrow(placed, "shard long, id long, vector array<double>").join(counts, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select(tile(F.col("block")), F.lit(False).alias("query"), "id", "vector", F.lit(0.0).alias("first"))
+    asks = asked.mapInArrow(asking(True), "shard long, id long, vector array<double>, first double").join(counts, "shard")
+    asks = asks.select(tile(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), F.lit(True).alias("query"), "id", "vector", "first")
+    dealt = held.unionByName(asks)
 
     def found(group: pa.Table):
-        model = shared.value
         group = group.combine_chunks()
         is_query, ids = np.array(group.column(1)), np.asarray(group.column(2))
         if is_query.all() or not is_query.any():
             return None
-        x = np.array(group.column(3).combine_chunks().flatten()).reshape(len(ids), model.dims)
-        shard = Shard(model, ids[~is_query], x[~is_query])
-        q, first, names = x[is_query], np.asarray(group.column(4))[is_query], ids[is_query]
-        p = model.project(q, True)
-        out = [], [], []
-        for low in range(0, len(q), 512):
-            bounds = box_distances(shard.boxes, p[low : low + 512])
-            for s in range(low, min(len(q), low + 512)):
-                near, scores = shard.search(names[s], q[s], p[s], bounds[s - low], first[s])
-                for held, new in zip(out, (np.full(len(near), names[s]), near, scores), strict=True):
-                    held.append(new)
-        return {n: pa.array(np.concatenate(v)) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)}
+        x = np.array(group.column(3).combine_chunks().flatten()).reshape(len(ids), dims)
+        names = ids[is_query]
+        place, near, scores = Shard(shared.value, ids[~is_query], x[~is_query]).search(names, x[is_query], np.asarray(group.column(4))[is_query])
+        return {"query_id": pa.array(names[place]), "vec_id": pa.array(near), "score": pa.array(scores)}
 
     # the sample's best are verified already: with them a query has k rows wherever there are k; shards find the same rows again
     met = grouped(dealt, "tile", found, SCHEMA).withColumn("drawn", F.lit(0)).unionByName(asked.mapInArrow(sampled, SCHEMA).withColumn("drawn", F.lit(1)))

@@ -99,7 +99,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", hub: int = 1000) ->
         # small star: smaller neighbours, and the vertex itself, go to the smallest
         small = _with_least(large, most, F.col("m"))
         small = small.select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = cut(small)
+        small = cut(small.coalesce(1 + n // 100_000))  # edges never get more, so as few files as the last round's number needs
         before, n = n, small.count()
         if n == before and not small.join(pairs, ["u", "v"], "left_anti").limit(1).count():
             break
