@@ -177,12 +177,14 @@ class Model:
             for end in range(1, last + 1):
                 own = sizes == end
                 backward[end][own], whole[own] = 1, forward[end][own]
+            shares = []
             for end, size, hit, piece in reversed(arcs):
                 way = self.p[piece] * backward[end][hit]
                 backward[end - size][hit] += way
-                share = forward[end - size][hit] * way / np.maximum(whole[hit], 1e-300) * weight[hit]
-                for k in range(out.shape[1]):
-                    out[:, k] += np.bincount(piece, share[:, k], len(out))
+                shares.append(forward[end - size][hit] * way / np.maximum(whole[hit], 1e-300) * weight[hit])
+            pieces, shares = np.concatenate([a[3] for a in reversed(arcs)]), np.concatenate(shares)
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(pieces, shares[:, k], len(out))
         return out
 
     def fit(self, words: list[bytes], counts: np.ndarray, rounds: int = 3, smooth: float = 0.05) -> Model:
@@ -254,7 +256,8 @@ def learn(documents: DataFrame, per_language: int = 300, vocabulary_path: str |
     if not languages:
         return Model(pieces, [])
     drawn = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / F.lit(float(1 << 31))
-    sample = rows.join(F.broadcast(counts), "lang").where(drawn < per_language / F.col("count")) if len(languages) < 10_000 else rows.join(counts, "lang").where(drawn < per_language / F.col("count"))
+    few = F.broadcast(counts) if len(languages) < 10_000 else counts  # a row for each language
+    sample = rows.join(few, "lang").where(drawn < per_language / F.col("count"))
     sample = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,16 @@
 """Quality: attention-based multiple-instance learning over a document's passages.
 
 A document is a bag of passages of ``PASSAGE`` characters (the last may be shorter); every passage
-of the whole text is encoded: shares of character classes, of class changes, and of repetition within
-the passage and with the document's earlier passages, through a learned tanh layer. Gated attention
+of the whole text is encoded: what it says, as signed counts of its lower-cased character 4-grams in ``GRAMS`` slots
+and of its words in ``WORDS``; and how, as shares of character classes, of class changes, and of repetition within
+the passage and with the document's earlier passages; through a learned tanh layer. Gated attention
 a_k ~ exp(w . (tanh(V h_k) * sigmoid(U h_k))), learned from document labels alone, weighs the
 passages, and a logistic layer scores the weighted representation. A document's features and score do
 not depend on the documents that share its batch.
 
 Null and empty texts have one passage without characters, scored like any other. One row in, one
-row out. Without labelled rows of both classes every score is 0.5.
+row out, also for repeated rows, which score alike; nothing is ranked, so there are no ties. No rows give none; extra
+columns are ignored. Without labelled rows of both classes every score is 0.5, so ``predicted`` is 1 and ``keep`` keeps all.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, keep_rows, table
+from .common import arrow_map, held_out, keep_rows, mix, release_held, table
 from .learning import Adam, code_points, in_parts, labelled_sample, sigmoid
 
 PASSAGE = 400
@@ -27,7 +29,10 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 ALONE = " \n.,!?*#$%&|\"'-:;/@<>=_(){}[]~^+\\"
 _LOWER, _UPPER, _DIGIT, _SPACE, _OTHER = range(len(ALONE), len(ALONE) + 5)
 CLASSES = len(ALONE) + 5
-FEATURES = 2 * CLASSES + 6
+GRAMS, WORDS = 32, 32
+#: What passages say has many more, noisier features than how they say it, so each counts for less.
+SAID = 0.25
+FEATURES = 2 * CLASSES + 6 + GRAMS + WORDS
 
 
 def _class_table() -> np.ndarray:
@@ -80,7 +85,38 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             seen = np.bincount(own[at], minlength=total)
             extra[:, 2 + k] = np.bincount(own[at], again, total) / np.maximum(seen, 1)
             extra[:, 4 + k] = (np.bincount(document[own[at]], again, len(texts)) / np.maximum(np.bincount(document[own[at]], minlength=len(texts)), 1))[document]
-    return np.hstack([np.sqrt(shares), np.sqrt(after), extra]), document
+    low = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint64)
+    return np.hstack([np.sqrt(shares), np.sqrt(after), extra, *_said(low, owner, own, total)]), document
+
+
+def _said(low: np.ndarray, owner: np.ndarray, own: np.ndarray, total: int) -> list[np.ndarray]:
+    """Signed counts, by slot, of each passage's character 4-grams and words (those that begin there), over the root of their number."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    grams, width = low, 1
+    while width < 4:
+        grams = grams[:-width] * step + (grams[width:] ^ (grams[width:] >> np.uint64(29)))
+        width *= 2
+    at = np.flatnonzero(owner[: len(grams)] == owner[3:]) if len(low) > 3 else np.zeros(0, np.int64)
+    out = [_slots(grams[at], own[at], total, GRAMS)]
+    # words: runs of anything but white space; the sum of their characters' hashes, each by its place in the word
+    inside = (low > 32) & (low != 160)
+    new = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(low) else np.zeros(0, bool)
+    start = np.flatnonzero(inside & (new | ~np.concatenate([[False], inside[:-1]]))) if len(low) else np.zeros(0, np.int64)
+    if not len(start):
+        return [*out, np.zeros((total, WORDS))]
+    word = np.cumsum(np.bincount(start, minlength=len(low))) - 1
+    place = np.arange(len(low)) - start[np.maximum(word, 0)]
+    hashed = mix(low * step + place.astype(np.uint64))
+    hashed[~inside] = 0
+    return [*out, _slots(np.add.reduceat(hashed, start), own[start], total, WORDS)]
+
+
+def _slots(hashed: np.ndarray, own: np.ndarray, total: int, size: int) -> np.ndarray:
+    hashed = mix(hashed)
+    sign = np.where(hashed & np.uint64(1), 1.0, -1.0)
+    slot = (hashed >> np.uint64(40)).astype(np.int64) % size
+    sums = np.bincount(own * size + slot, sign, minlength=total * size).reshape(total, size)
+    return sums / np.sqrt(np.maximum(np.bincount(own, minlength=total), 1))[:, None]
 
 
 def in_order(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -126,6 +162,7 @@ class Model:
             first += len(part)
         x, document = np.concatenate(x), np.concatenate(document)
         self.mean, self.std = x.mean(0), x.std(0) + 1e-3
+        self.std[-GRAMS - WORDS :] /= SAID
         x = np.clip((x - self.mean) / self.std, -8, 8)
         n = len(texts)
         share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
@@ -164,6 +201,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     def make():
         model = shared.value
+        release_held()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = model.score([x.as_py() or "" for x in batch.column(2)])
@@ -178,7 +216,12 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 def keep(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents, with all their columns, of at least this score."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(documents, lambda: lambda texts: shared.value.score(texts) >= threshold)
+
+    def make():
+        release_held()
+        return lambda texts: shared.value.score(texts) >= threshold
+
+    return keep_rows(documents, make)
 
 
 def train(spark: SparkSession, sf_dir: str, per_class: int = 800) -> Model:

@@ -6,8 +6,9 @@ r = log((p / |p|) / (q / |q|)) of smoothed document counts, and a logistic regre
 The ``max_features`` slots of largest |r| * sqrt(count) stay. A document's score is the sigmoid of
 bias + sum of weights of the features it holds anywhere in its whole text.
 
-Null and empty texts hold no feature and score the bias. One row in, one row out. Without labelled
-rows of both classes every score is the base rate (0.5 without any label).
+Null and empty texts hold no feature and score the bias. One row in, one row out, also for repeated rows, which score
+alike; of slots of equal rank the smaller number stays. No rows give none; extra columns are ignored. With labelled rows
+of one class only every score is that class's (sigmoid of -4 or 4); without any it is 0.5.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, table
+from .common import arrow_map, held_out, release_held, table
 from .learning import Adam, code_points, in_parts, labelled_sample, sigmoid
 
 SIZES, BITS = (4, 6, 8), 20
@@ -95,6 +96,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
     def make():
         model = shared.value
+        release_held()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = model.score([x.as_py() or "" for x in batch.column(2)])

@@ -30,6 +30,57 @@ def test_classifiers(spark, module, label):
         assert np.mean(own) > 0.85
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Every n-gram hashed one by one, and the sum over those that the model knows."""
+    rng = np.random.default_rng(2)
+    words = ["idiot", "hate", "kind", "sunny", "Été", "日本", "stupid!", "thanks", "a\tb\nc"]
+    sample = [(k, " ".join(rng.choice(words[:5] if k % 2 else words[3:], 12)), k % 2) for k in range(60)]
+    model = toxicity.fit(sample, max_features=200)
+
+    def by_hand(text):
+        text = "".join(" " if "\t" <= c <= "\r" else c for c in f" {text.lower()} ")
+        held = set()
+        for n in toxicity.SIZES:
+            for k in range(len(text) - n + 1):
+                h = ord(text[k]) * 0x9E3779B1 % 2**32
+                for c in text[k + 1 : k + n]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                held.add(((h ^ (h >> 15)) * 0x85EBCA6B % 2**32) >> (32 - toxicity.BITS))
+        return 1 / (1 + math.exp(-(model.bias + sum(float(model.weight[f]) for f in {int(model.feature[s]) for s in held} - {-1}))))
+
+    texts = [x[1] for x in sample[:9]] + ["", "x", "I hate\x0bstupid idiot", "Thanks! " * 3000]
+    documents = spark.createDataFrame([(k, t, "s") for k, t in enumerate([*texts, None])], "doc_id long, text string, score string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents, model).collect()}
+    assert all(math.isclose(got[k], by_hand(t), rel_tol=1e-5) for k, t in enumerate([*texts, ""]))
+
+
+def test_quality_scores_by_hand(spark):
+    """Attention over passages, one document and one passage at a time."""
+    sample = [(k, ("A clean sentence about rivers. " if k % 2 else "BUY!! now $$$ ### ") * (1 + k % 40), k % 2) for k in range(40)]
+    model = quality.fit(sample)
+
+    def by_hand(text):
+        x = np.clip((quality.passages([text])[0] - model.mean) / model.std, -8, 8)
+        h = [np.tanh(row @ model.e + model.eb) for row in x]
+        a = [math.exp(float(model.w @ (np.tanh(v @ model.v) / (1 + np.exp(-(v @ model.u)))))) for v in h]
+        z = sum(w * v for w, v in zip(a, h, strict=True)) / sum(a)
+        return 1 / (1 + math.exp(-float(z @ model.c + model.cb[0])))
+
+    texts = [x[1] for x in sample[:9]] + ["", "x", "Rivers! " * 3000]
+    documents = spark.createDataFrame([(k, t, "s") for k, t in enumerate([*texts, None])], "doc_id long, text string, score string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents, model).collect()}
+    assert all(math.isclose(got[k], by_hand(t), rel_tol=1e-9) for k, t in enumerate([*texts, ""]))
+
+
+def test_quality_reads_what_passages_say():
+    """Texts that differ in their words alone, not in their characters' classes."""
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words[:20] if k % 2 else words[20:], 60)) for k in range(120)]
+    model = quality.fit([(k, t, k % 2) for k, t in enumerate(texts[:80])])
+    assert np.mean((model.score(texts[80:]) > 0.5) == (np.arange(80, 120) % 2 == 1)) > 0.9
+
+
 def test_language(spark):
     pairs = _held_out(spark, SF, language.query(spark, SF), "lang_pred", "lang")
     assert np.mean([a == b for a, b in pairs]) > 0.97
@@ -121,6 +172,80 @@ def test_language_keeps_nothing_without_languages(spark):
     assert language.keep(documents, language.learn(documents)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def odd_folder(tmp_path_factory, spark):
+    """Nulls in every column, empty and very long texts, repeated rows, repeated and null ids, and columns with clashing names."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    clean = "The river runs past the old mill and the children walk to school along its bank every morning in spring. "
+    texts = [clean * 3, clean * 3, clean.upper() * 2, "Le chat dort sur la chaise et la souris mange le fromage de la maison. " * 4, None, "", "  \n", "!!! 123", "x" * 60_000, "mot " * 40_000, clean + "end", clean + "End of it."]
+    rows = [(k, t, "fr" if t and t.startswith("Le") else "en", "web", None if t is None else len(t), "v", k, True, 1.5) for k, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, clean + "nobody's own text, which is long enough to be one", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (3, clean + "another text under an id that is used", "en", "web", 1, "w", 1, False, 0.0)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, `_` string, `row` int, `a``b.c` boolean, `some` double"
+    spark.createDataFrame(rows, names).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, k % 2, k % 2) for k in range(12)] + [(None, 1, 1), (5, None, None), (7, 3, 3)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_stages_take_odd_rows_and_names(spark, odd_folder):
+    docs = table(spark, odd_folder, "documents")
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            out = stage(spark, rows, odd_folder)
+            if name != "packing":
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            found = out.collect()
+            assert found or rows is not docs
+        if name not in ("packing", "repeated_passages"):
+            kept, before = sorted(map(key, stage(spark, docs, odd_folder).collect())), sorted(map(key, docs.collect()))
+            assert all(before.count(r) >= kept.count(r) for r in kept)
+        if name == "near_duplicates":
+            wordless = [r for r in docs.collect() if not (r["text"] or "").split()]
+            kept = stage(spark, docs, odd_folder).collect()
+            assert len([r for r in kept if not (r["text"] or "").split()]) == len(wordless)
+            worded = [r["text"] for r in kept if (r["text"] or "").split()]
+            assert len(worded) == len(set(worded)) and any(t.endswith("used") for t in worded) and any("nobody" in t for t in worded)
+    assert corpus_pipeline.run(spark, odd_folder).count() > 0
+
+
+def test_stages_of_an_empty_folder(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_stages_by_brute_force(spark):
+    """Near duplicates, repeated passages and packing of all documents of the smallest tables."""
+    from tokenizers import Tokenizer
+
+    from test_exact import _jaccard_brute, _suffix_brute
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    brute = _jaccard_brute(rows)
+    kept = stages["near_duplicates"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(d for d, n, c in brute if c == d or not n)
+    kept = spark.createDataFrame(kept.toArrow())
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    left = stages["repeated_passages"](spark, kept, "")
+    sizes = {d: n - gone for d, n, gone, _, _ in _suffix_brute(rows)}
+    texts = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert texts.keys() == sizes.keys() and all(0 <= sizes[d] - len(t.encode()) < 4 * 2 * 100 for d, t in texts.items())
+    assert all(len(t.encode()) == sizes[d] for d, t in texts.items() if t.isascii() and sizes[d] == len(dict(rows)[d].encode()))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    left = spark.createDataFrame(left.toArrow())
+    pieces = {}
+    for r in stages["packing"](spark, left, "").collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    for d, t in texts.items():
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert sum(n for _, n, _ in pieces[d]) == len(ids)
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in pieces[d])
+
+
 def test_pipeline(spark):
     names = table(spark, SF, "documents").columns
     docs = table(spark, SF, "documents")
