@@ -12,7 +12,7 @@ import tempfile
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .plans.builder import PlanBuilder, Relation, agg, asc, case, col, desc, fn, lit, within
@@ -533,6 +533,72 @@ _sql("sub_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM o
 _sql("sub_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)", _CO)
 
 
+# ---- windows and set operations of Spark's own, over a source's DataFrames
+
+
+def frames(sql: str, **tables: list[str]):
+    """Registers a function of DataFrames: these columns of these tables."""
+
+    def register(build: Callable[..., DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            session = Session(spark)
+            session.register("t", "parquet", dir=sf_dir)
+            return build(*[session.table("t", name, columns) for name, columns in tables.items()])
+
+        QUERIES[build.__name__], ORACLE_SQL[build.__name__] = run, sql
+        return build
+
+    return register
+
+
+@frames(
+    "SELECT c_custkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd, ntile(4) OVER w AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)",
+    customer=["c_custkey", "c_nationkey", "c_acctbal"],
+)
+def native_window_rank(customer):
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    calls = {"rn": F.row_number(), "rk": F.rank(), "dr": F.dense_rank(), "pr": F.percent_rank(), "cd": F.cume_dist(), "nt": F.ntile(4)}
+    return customer.select("c_custkey", *[c.over(w).cast("double" if n in ("pr", "cd") else "bigint").alias(n) for n, c in calls.items()])
+
+
+@frames(
+    "SELECT o_orderkey, lag(o_orderkey, 2) OVER w AS a, lead(o_orderkey) OVER w AS b, first_value(o_orderkey) OVER w AS c, last_value(o_orderkey) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS d, nth_value(o_orderkey, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+    orders=["o_orderkey", "o_custkey"],
+)
+def native_window_analytic(orders):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    whole, rest = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    k = "o_orderkey"
+    return orders.select(k, F.lag(k, 2).over(w).alias("a"), F.lead(k).over(w).alias("b"), F.first(k).over(w).alias("c"), F.last(k).over(rest).alias("d"), F.nth_value(k, 2).over(whole).alias("e"))
+
+
+@frames(
+    "SELECT l_orderkey, l_linenumber, cast(sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS near, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS upto FROM lineitem",
+    lineitem=["l_orderkey", "l_linenumber"],
+)
+def native_window_frame(lineitem):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    return lineitem.select("l_orderkey", "l_linenumber", F.sum("l_linenumber").over(w.rowsBetween(-1, 1)).alias("near"), F.count(F.lit(1)).over(w.rangeBetween(-2, 0)).alias("upto"))
+
+
+_KEYS = {"customer": ["c_nationkey"], "supplier": ["s_nationkey"]}
+
+
+@frames("SELECT c_nationkey AS c_nationkey, count(*) AS n FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1", **_KEYS)
+def native_union_all(customer, supplier):
+    return customer.union(supplier).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@frames("SELECT c_nationkey FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", **_KEYS)
+def native_intersect_all(customer, supplier):
+    return customer.intersectAll(supplier)
+
+
+@frames("SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", **_KEYS)
+def native_except_all(customer, supplier):
+    return customer.exceptAll(supplier)
+
+
 # ---- functions
 
 

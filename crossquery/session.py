@@ -74,6 +74,11 @@ class Session:
     def query(self, name: str, sql: str) -> DataFrame:
         return self.sources.query(name, sql)
 
+    def table(self, name: str, table: str, columns: list[str] | None = None, schema: str | None = None) -> DataFrame:
+        """A source's table as a DataFrame, for what the plan language has no node for: windows and set operations are Spark's own."""
+        out = self.sources[name].table(table, schema, columns)
+        return out if columns is None else out.select(*[F.col(quoted(c)) for c in columns])
+
     def read_partitioned(self, name: str, table: str, columns: list[str] | None = None, partitions: int = 8, schema: str | None = None) -> DataFrame:
         return self.sources.read_partitioned(name, table, columns, partitions, schema)
 
