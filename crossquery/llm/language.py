@@ -113,9 +113,14 @@ class Model:
             same = (rows[row[own], end - size : end] == self.bytes[piece[own], :size]).all(1)
             yield size, row[own][same], piece[own][same]
 
-    def _some(self) -> int:
-        """Words taken at a time, fewer with many languages."""
-        return max(64, min(2048, 16384 // self.p.shape[1]))
+    def _parts(self, by_size: list[int], words: list[bytes]) -> Iterator[list[int]]:
+        """Words taken at a time: fewer of long ones, and with many languages."""
+        low = 0
+        while low < len(by_size):
+            longest = len(words[by_size[min(len(by_size), low + 8192) - 1]])
+            n = max(64, min(8192, (1 << 19) // (longest * self.p.shape[1])))
+            yield by_size[low : low + n]
+            low += n
 
     @staticmethod
     def _matrix(words: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -134,8 +139,7 @@ class Model:
         """log of the summed probability of all segmentations: words x languages, by the forward algorithm."""
         out = np.zeros((len(words), self.p.shape[1]))
         by_size = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for low in range(0, len(words), self._some()):
-            part = by_size[low : low + self._some()]
+        for part in self._parts(by_size, words):
             rows, prefix, back, sizes, order = self._matrix([words[k] for k in part])
             n, scale = len(rows), np.zeros(len(rows))
             ring = {0: np.ones((n, self.p.shape[1]))}
@@ -160,8 +164,7 @@ class Model:
         """Expected counts of pieces over all segmentations, by forward-backward; counts: words x languages."""
         out = np.zeros_like(self.p)
         by_size = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for low in range(0, len(words), self._some()):
-            part = np.array(by_size[low : low + self._some()])
+        for part in map(np.array, self._parts(by_size, words)):
             rows, prefix, back, sizes, order = self._matrix([words[k] for k in part])
             weight, last = counts[part[order]], rows.shape[1]
             forward, arcs = [np.ones_like(weight)], []
