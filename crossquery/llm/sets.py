@@ -85,22 +85,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each vertex links its larger
     neighbours, then its smaller ones, to the smallest of them; rounds grow with the logarithm of a
-    path's length, and edges never get more. Every half round is checkpointed to the shared folder, and so are the
-    smallest neighbours: a join of two relations that it deals itself lets adaptive execution split a hub's edges.
+    path's length, and edges never get more. Every round is checkpointed to the shared folder.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs = cut(pairs)
     n = pairs.count()
     while True:
-        files = 1 + n // 100_000  # edges never get more, so as few files as the last round's number needs
         # large star: for a vertex x and its least neighbour m (or x), larger neighbours go to m
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, F.least("u", "m"), files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large.coalesce(files))
+        large = _with_least(both, F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours, and the vertex itself, go to the smallest
-        small = _with_least(large, F.col("m"), files)
+        small = _with_least(large, F.col("m"))
         small = small.select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = cut(small.coalesce(files))
+        small = cut(small.coalesce(1 + n // 100_000))  # as few files as the last round's number of edges needs
         before, n = n, small.count()
         if n == before and not small.join(pairs, ["u", "v"], "left_anti").limit(1).count():
             break
@@ -109,10 +106,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return small.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def _with_least(edges: DataFrame, least: Column, files: int) -> DataFrame:
+def _with_least(edges: DataFrame, least: Column) -> DataFrame:
     """u, v, m: every edge with what ``least`` makes of u and the least neighbour m of u."""
     ends = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), least.alias("m"))
-    return edges.join(cut(ends.coalesce(files)), F.col("u") == F.col("x")).select("u", "v", "m")
+    return edges.join(ends, F.col("u") == F.col("x")).select("u", "v", "m")
 
 
 class Renamed:
