@@ -216,7 +216,7 @@ def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, wid
                 ids = batch.column(0).filter(pa.array(own))
                 for b in range(keys.shape[1]):
                     data["band"] = b
-                    place = mix(labels[own] + mix(np.uint64(b + 1) * np.uint64(0x9E3779B97F4A7C15) + keys[:, b].astype(np.uint64)))
+                    place = mix(labels[own] + mix(np.array([b + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[:, b].astype(np.uint64)))
                     yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), ids, pa.array([x.tobytes() for x in data], pa.binary())], ["bucket", "id", "data"])
 
     sized = classes.join(per_label, "label", "left").select("id", "label", "embedding", F.coalesce("members", F.lit(0)).alias("members"))
